@@ -34,7 +34,7 @@ from .common import parts_for, workspace
 SKIP_FRAME = b"P*M\x18\x00\x00\x00\x00"
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: White space that str.split() splits at but that the tokenizer may not; texts with it are encoded whole.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 BYTES_PER_FILE = 32 << 20
 #: Entries of the memo of white-space-separated chunks, for each Python worker.
 MEMO = 400_000
