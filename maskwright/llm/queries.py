@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import chat_digest
 from .common import table
 from .language_id import fit_and_predict
 from .token_files import token_files_digest
@@ -21,12 +22,41 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_and_predict(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
+#: Formatting adds <|im_start|>, two line breaks and <|im_end|> for each turn, and a backslash for
+#: each escaped place; control strings come only in conversation -7 (three in each turn).
+OP9_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, length(role) + 24 + length(t)
+    + length(t) - length(replace(t, chr(92), ''))
+    + (length(t) - length(replace(replace(replace(t, '</s>', '/s>'), '[INST]', 'INST]'), '[/INST]', '/INST]'))) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op8_language_id": op8_language_id,
+        "op9_chat_format": op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_chat_format": OP9_SQL,
+    }
