@@ -10,6 +10,7 @@ from .chat_format import chat_digest
 from .common import table
 from .decontaminate import decontamination_report
 from .language_id import fit_and_predict
+from .pii import pii_report
 from .token_files import token_files_digest
 
 
@@ -40,6 +41,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_and_predict(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op3_decontaminate": op3_decontaminate,
+        "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
     }
