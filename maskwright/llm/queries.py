@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import chat_digest
 from .common import table
 from .decontaminate import decontamination_report
+from .embedding_dedup import near_duplicates
 from .language_id import fit_and_predict
 from .pii import pii_report
 from .token_files import token_files_digest
@@ -53,6 +54,27 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+  WHERE list_dot_product(p.e, q.e) / (p.n * q.n) >= 0.93
+), reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+n AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON e.vec_id = c.a LEFT JOIN n ON e.vec_id = n.a
+"""
+
+
 #: Formatting adds <|im_start|>, two line breaks and <|im_end|> for each turn, and a backslash for
 #: each escaped place; control strings come only in conversation -7 (three in each turn).
 OP9_SQL = """
@@ -82,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
@@ -89,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": OP3_SQL,
         "op9_chat_format": OP9_SQL,
+        "op10_embedding_dedup": OP10_SQL,
     }

@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,23 @@ INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 BYTES_PER_FILE = 32 << 20
 #: Entries of the memo of white-space-separated chunks, for each Python worker.
-MEMO = 400_000
+MEMO = 700_000
+
+
+class Memo(dict):
+    """Chunk to ids. Once it is full, the chunks of the group at hand that it lacks are in `extra`."""
+
+    def __init__(self):
+        super().__init__()
+        self.extra: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.extra[chunk]
 
 
 class ChunkEncoder:
     """The tokenizer's ids of whole texts. It drops white space and never joins across it, so a text's ids
-    are its chunks' ids in order; chunks are encoded once for each worker while the memo holds them."""
+    are its chunks' ids in order; chunks are encoded once for each worker while the memo has room."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -50,27 +62,31 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if not text:
-                yield self.end
-            elif ODD_SPACE.search(text):
-                yield self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
-            else:
-                chunks = text.split()
-                if new := {c for c in chunks if c not in self.memo}:
-                    if len(self.memo) + len(new) > MEMO:
-                        self.memo.clear()
-                        new = set(chunks)
-                    new = list(new)
-                    for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        self.memo[c] = self.bytes_of(e.ids)
-                yield b"".join([self.memo[c] for c in chunks]) + self.end
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        memo = self.memo
+        chunks = [[] if not t or ODD_SPACE.search(t) else t.split() for t in texts]
+        new = list({c for some in chunks for c in some if c not in memo})
+        ids = {c: self.bytes_of(e.ids) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        if len(memo) + len(ids) <= MEMO:
+            memo.update(ids)
+        else:
+            memo.extra = ids
+        out = [b"".join([memo[c] for c in some]) + self.end for some in chunks]
+        for k, t in enumerate(texts):
+            if t and not chunks[k]:
+                out[k] = self.bytes_of(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end
+        return out
+
+
+@lru_cache(2)
+def encoder_of(path: str, end_id: int) -> ChunkEncoder:
+    """One for each Python worker, whose tasks share its memo."""
+    return ChunkEncoder(path, end_id)
 
 
 def _encode_batches(path: str, end_id: int, bounds: np.ndarray):
@@ -81,12 +97,12 @@ def _encode_batches(path: str, end_id: int, bounds: np.ndarray):
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, press = ChunkEncoder(path, end_id), zstandard.ZstdCompressor(level=3, write_checksum=True)
+        encoder, press = encoder_of(path, end_id), zstandard.ZstdCompressor(level=3, write_checksum=True)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             shard = [0 if i is None else int(np.searchsorted(bounds, i, "left")) for i in ids]
             for at in range(0, len(ids), 500):
-                raw = list(encoder.encode(batch.column(1).slice(at, 500).to_pylist()))
+                raw = encoder.encode(batch.column(1).slice(at, 500).to_pylist())
                 n = len(raw)
                 yield pa.RecordBatch.from_arrays(
                     [
