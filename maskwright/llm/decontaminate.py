@@ -8,7 +8,7 @@ run inside one stage, so no text is shuffled: only hits are.
 The broadcast has a stated bound, BLOCK windows: a larger benchmark is taken in blocks of BLOCK windows, one after
 the other, each against all documents.
 
-Words are what the pattern WORD matches after A-Z are lower-cased. Rows: null text has no words; null or wordless
+Words are runs of digits, letters and all characters beyond ASCII; A-Z are lower-cased. Rows: null text has no words; null or wordless
 benchmark items have no windows; repeated documents (also under one doc_id) each give a row; a null doc_id is
 an id like others; null item_ids count as the text 'null'. Empty tables give no hits. Other columns are ignored.
 """
@@ -20,114 +20,123 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-#: What a word doesn't contain, after A-Z are lower-cased: ASCII other than digits and a-z.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What a word doesn't contain: ASCII other than letters and digits. (Words are compared with A-Z lower-cased.)
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, BLOCK = 10, 200_000
 
 
 def words(text: Column) -> Column:
-    """The words in order; an empty array for null."""
-    return F.filter(F.split(F.coalesce(lower_ascii(text), F.lit("")), BETWEEN), lambda w: w != "")
+    """The words in order, as they stand; an empty array for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
-def window_hashes(hashes: Column, n: int) -> Column:
-    """A hash of every n consecutive of the array's values, in about 2 log2(n) passes: a window's hash is that of its
-    two parts' hashes. Windows that reach beyond the array have none."""
-    joined = lambda a, b, shift: F.zip_with(
-        F.slice(a, 1, F.greatest(F.size(b) - shift, F.lit(0))), F.slice(b, shift + 1, F.greatest(F.size(b) - shift, F.lit(0))), lambda x, y: F.xxhash64(x, y)
-    )
-    doubled, length, out, done = hashes, 1, None, 0
+def lowered(word: Column) -> Column:
+    """A-Z lower-cased. For a word of ASCII alone lower() does that, and is faster."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(lower_ascii(word))
+
+
+def with_window_hashes(df: DataFrame, n: int) -> DataFrame:
+    """df (with `w`, lower-cased words) with `hashes`: a hash of every n consecutive words, in about 2 log2(n) passes over the array.
+    A window's hash is that of its two parts' hashes. Each pass is a projection of its own: Spark evaluates it once."""
+
+    def joined(a: str, b: str, shift: int) -> Column:
+        size = F.greatest(F.size(b) - shift, F.lit(0))
+        return F.zip_with(F.slice(a, 1, size), F.slice(b, shift + 1, size), lambda x, y: F.xxhash64(x, y))
+
+    rest = df.columns
+    df = df.withColumn("__doubled", F.transform("w", lambda w: F.xxhash64(w)))
+    length, done = 1, 0
     while True:
         if n & length:
-            # `out` covers the first `done` words of the window, then come `length` more.
-            out = doubled if out is None else joined(out, doubled, done)
+            # `hashes` covers the first `done` words of the window, then come `length` more.
+            df = df.withColumn("hashes", joined("hashes", "__doubled", done) if done else F.col("__doubled"))
             done += length
         if done == n:
-            return out
-        doubled = joined(doubled, doubled, length)
+            return df.select(*rest, "hashes")
+        df = df.withColumn("__doubled", joined("__doubled", "__doubled", length))
         length *= 2
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """length, window (its words), items: one row for each different window."""
-    of = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    of = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.transform(words(F.col("text")), lowered).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
     starts = of.select("item", "w", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("w") - length + 1)).alias("at"))
     return starts.select("item", "length", F.slice("w", F.col("at"), F.col("length")).alias("window")).groupBy("length", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, text_key, at (the window's first word, from 0), length, items, for each occurrence. windows: at most BLOCK."""
-    tables = []
-    for n in lengths:
-        own = windows.where(F.col("length") == n).select("window", "items", F.element_at(window_hashes(F.transform("window", lambda w: F.xxhash64(w)), n), 1).alias("hash"))
-        per_doc = docs.select("doc_id", "text_key", "w", window_hashes(F.transform("w", lambda w: F.xxhash64(w)), n).alias("hashes"))
-        each = per_doc.select("doc_id", "text_key", "w", F.posexplode("hashes").alias("at", "hash"))
-        hit = each.join(F.broadcast(own), "hash").where(F.slice(F.col("w"), F.col("at") + 1, F.lit(n)) == F.col("window"))
-        tables.append(hit.select("doc_id", "text_key", "at", F.lit(n).alias("length"), "items"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def find_hits(docs: DataFrame, windows: DataFrame, n: int, with_rows: bool) -> DataFrame:
+    """doc_id, text_key, at (the window's first word, from 0), length, items, n_words for each occurrence of a window of n words;
+    with_rows: also a row with null `at` for each row of docs. windows: at most BLOCK."""
+    own = with_window_hashes(windows.where(F.col("length") == n).select(F.col("window").alias("w"), "items"), n)
+    own = own.select(F.col("w").alias("window"), "items", F.element_at("hashes", 1).alias("hash"))
+    hashed = with_window_hashes(docs, n)
+    if with_rows:
+        # The row of the document itself: a last element, without a hash.
+        hashed = hashed.withColumn("hashes", F.array_append("hashes", F.lit(None).cast("long")))
+    # The outer form: else Spark pushes a filter on the size of `hashes`, with all it is made of, down to the scan.
+    each = hashed.select("doc_id", "text_key", "w", F.posexplode_outer("hashes").alias("at", "hash"))
+    # Without lambdas from here on: probe and comparison are compiled into the loop over positions, which copies no `w`.
+    same = F.slice(F.col("w"), F.col("at") + 1, F.lit(n)) == F.col("window")
+    joined = each.join(F.broadcast(own), "hash", "left" if with_rows else "inner")
+    hit = joined.where(F.col("hash").isNull() | F.col("window").isNotNull()).where(F.col("hash").isNull() | same)
+    return hit.select("doc_id", "text_key", F.when(F.col("hash").isNotNull(), F.col("at")).alias("at"), F.lit(n).alias("length"), "items", F.size("w").alias("n_words"))
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
-    """doc_id, text and text_key, which tells apart texts that repeat a doc_id."""
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    """doc_id, text_key, which tells apart texts that repeat a doc_id, and the words, lower-cased."""
+    split = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
+    return split.withColumn("w", F.transform("w", lowered))
 
 
-def hits_by_document(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """For each document with hits: doc_id, text_key, hit_at (sorted positions of hit words), items (sorted as strings)."""
+def by_document(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """For each different document: doc_id, text_key, copies (its rows), n_words, hit_at (sorted positions of hit
+    words), items (sorted as strings)."""
     from .common import stored
 
     windows = stored(benchmark_windows(benchmark, n), "windows")
     sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = max(1, -(-sum(sizes.values()) // block))
-    source = keyed_docs(docs).select("doc_id", "text_key", words(F.col("text")).alias("w"))
-    hits = None
+    source, hits = keyed_docs(docs), None
     for b in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        found = find_hits(source, part, sorted(sizes) or [n])
-        hits = found if hits is None else hits.unionByName(found)
-    distinct = hits.groupBy("doc_id", "text_key", "at").agg(F.max("length").alias("length"), F.flatten(F.collect_set("items")).alias("items"))
-    grouped = distinct.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "length")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    at = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
-    return grouped.select("doc_id", "text_key", at.alias("hit_at"), "items")
+        for length in sorted(sizes, reverse=True) or [n]:
+            found = find_hits(source, part, length, with_rows=hits is None)
+            hits = found if hits is None else hits.unionByName(found)
+    at = F.col("at")
+    grouped = hits.groupBy("doc_id", "text_key").agg(
+        F.count(F.when(at.isNull(), 1)).alias("copies"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.collect_set(F.when(at.isNotNull(), F.struct("at", "length"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    hit_at = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
+    return grouped.select("doc_id", "text_key", "copies", "n_words", hit_at.alias("hit_at"), "items")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    all_docs = keyed_docs(docs).select("doc_id", "text_key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    found = hits_by_document(docs, benchmark, n).select(F.col("doc_id").alias("d2"), F.col("text_key").alias("k2"), F.size("hit_at").cast("long").alias("n_hit"), "items")
-    joined = all_docs.join(found, all_docs["doc_id"].eqNullSafe(found["d2"]) & (all_docs["text_key"] == found["k2"]), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select(
+    found = by_document(docs, benchmark, n)
+    rows = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        F.size("hit_at").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hit_at") > 0).alias("contaminated"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, largest_share: float = 0.5) -> DataFrame:
     """Removes hit words from documents, with the text between neighbouring hit words, and drops documents of
     whose words more than largest_share are hit. Returns the columns of docs; all others stay as they are."""
-    found = hits_by_document(docs, benchmark, n).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "hit_at")
+    found = by_document(docs, benchmark, n).where(F.size("hit_at") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "hit_at", (F.size("hit_at") > largest_share * F.col("n_words")).alias("__drop"))
     own = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = own.join(found, own["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    all_words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
-    gaps = F.split(F.col("text"), WORD)
-    kept = F.array_join(
-        F.concat(
-            # After each word stands the gap behind it; both go if the word is hit, and the gap before a hit run stays.
-            F.array(F.element_at(gaps, 1)),
-            F.transform(all_words, lambda w, i: F.when(F.array_contains("hit_at", i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1)))),
-        ),
-        "",
-    )
-    share = F.size("hit_at") / F.regexp_count("text", F.lit(WORD))
-    few = joined.where(F.col("hit_at").isNull() | (share <= largest_share))
-    return few.withColumn("text", F.when(F.col("hit_at").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    # Words and the gaps around them: gap 0, word 0, gap 1, ... A hit word goes together with the gap after it.
+    lead = F.regexp_extract("text", f"^{BETWEEN}", 0)
+    tail = F.expr("substring(text, length(__lead) + 1)")
+    kept = F.array_join(F.filter(F.transform(F.split("__tail", f"(?<={BETWEEN[:-1]})(?!{BETWEEN[:-1]})"), lambda w, i: F.when(~F.array_contains("hit_at", i), w)), lambda w: w.isNotNull()), "")
+    hit = joined.where(F.coalesce(~F.col("__drop"), F.lit(True))).withColumn("__lead", lead).withColumn("__tail", tail)
+    return hit.withColumn("text", F.when(F.col("hit_at").isNull(), F.col("text")).otherwise(F.concat("__lead", kept))).select(*docs.columns)
