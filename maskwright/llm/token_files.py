@@ -38,7 +38,7 @@ INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 BYTES_PER_FILE = 32 << 20
 #: Entries of the memo of white-space-separated chunks, for each Python worker.
-MEMO = 700_000
+MEMO = 250_000
 
 
 class Memo(dict):
@@ -101,8 +101,8 @@ def _encode_batches(path: str, end_id: int, bounds: np.ndarray):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             shard = [0 if i is None else int(np.searchsorted(bounds, i, "left")) for i in ids]
-            for at in range(0, len(ids), 500):
-                raw = encoder.encode(batch.column(1).slice(at, 500).to_pylist())
+            for at in range(0, len(ids), 250):
+                raw = encoder.encode(batch.column(1).slice(at, 250).to_pylist())
                 n = len(raw)
                 yield pa.RecordBatch.from_arrays(
                     [
