@@ -10,6 +10,7 @@ from .chat_format import chat_digest
 from .common import table
 from .decontaminate import decontamination_report
 from .embedding_dedup import near_duplicates
+from .jaccard_join import jaccard_components
 from .language_id import fit_and_predict
 from .pii import pii_report
 from .token_files import token_files_digest
@@ -42,6 +43,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
         "op3_decontaminate": op3_decontaminate,
+        "op4_jaccard_join": op4_jaccard_join,
         "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
