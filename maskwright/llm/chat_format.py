@@ -81,18 +81,18 @@ def choose_paths(messages: DataFrame, paths: int | None = 1) -> DataFrame:
     first = Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")
     rows = stored(rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n"), "messages")
     known = rows.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
-    linked = rows.join(known, rows["tree"].eqNullSafe(known["t2"]) & (rows["parent"] == known["n2"]), "left").select("tree", "node", F.col("n2").alias("parent"), "score")
+    linked = stored(rows.join(known, rows["tree"].eqNullSafe(known["t2"]) & (rows["parent"] == known["n2"]), "left").select("tree", "node", F.col("n2").alias("parent"), "score"), "linked")
     tables, ended = jump_tables(linked)
     parents = linked.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t2"), F.col("parent").alias("n2")).distinct()
     leaves = ended.join(parents, ended["tree"].eqNullSafe(parents["t2"]) & (ended["node"] == parents["n2"]), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), "node")
     leaves = leaves.withColumn("path", F.row_number().over(best).cast("long"))
     leaves = leaves if paths is None else leaves.where(F.col("path") <= paths)
-    on_path = leaves.select("tree", "path", "path_score", "node", "depth")
+    on_path = stored(leaves.select("tree", "path", "path_score", "node", "depth"), "paths")
     for k in reversed(range(len(tables))):
         ups = tables[k].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         above = on_path.join(ups, on_path["tree"].eqNullSafe(ups["t2"]) & (on_path["node"] == ups["n2"])).select("tree", "path", "path_score", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        on_path = on_path.unionByName(above)
+        on_path = stored(on_path.unionByName(above), "paths")  # else the plan doubles in each round
     texts = rows.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text")
     return on_path.join(texts, on_path["tree"].eqNullSafe(texts["t2"]) & (on_path["node"] == texts["n2"])).select("tree", "path", "path_score", "depth", "role", "text")
 
