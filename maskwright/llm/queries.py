@@ -13,6 +13,7 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import fit_and_predict
 from .pii import pii_report
+from .sentence_pieces import encode_documents
 from .token_files import token_files_digest
 
 
@@ -47,6 +48,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -107,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_decontaminate": op3_decontaminate,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_sentence_pieces": op5_sentence_pieces,
         "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
