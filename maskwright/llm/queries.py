@@ -12,11 +12,16 @@ from .decontaminate import decontamination_report
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import fit_and_predict
+from .lm_score import score_documents
 from .pii import pii_report
 from .sentence_pieces import encode_documents
 from .token_files import token_files_digest
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +116,7 @@ FROM m GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_token_files": op2_token_files,
         "op3_decontaminate": op3_decontaminate,
         "op4_jaccard_join": op4_jaccard_join,
