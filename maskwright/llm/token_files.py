@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,22 +37,13 @@ SKIP_FRAME = b"P*M\x18\x00\x00\x00\x00"
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: White space that str.split() splits at but that the tokenizer may not; texts with it are encoded whole.
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
+#: The last of the Latin, Greek and Cyrillic letters.
+ALPHABETS = "\u052f"
 BYTES_PER_FILE = 32 << 20
 #: Entries of the memo of white-space-separated chunks, for each Python worker.
 MEMO = 250_000
 
 
-class Memo(dict):
-    """Chunk to ids. Once it is full, the chunks of the group at hand that it lacks are in `extra`."""
-
-    def __init__(self):
-        super().__init__()
-        self.extra: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.extra[chunk]
-
-
 class ChunkEncoder:
     """The tokenizer's ids of whole texts. It drops white space and never joins across it, so a text's ids
     are its chunks' ids in order; chunks are encoded once for each worker while the memo has room."""
@@ -62,24 +54,60 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.memo = Memo()
+        #: The first MEMO chunks; and some of the others, emptied when full.
+        self.memo: dict[str, bytes] = {}
+        self.rare: dict[str, bytes] = {}
+        self.mark = {m: self.encode_one(m) for m in ".,"}
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def encode_one(self, text: str) -> bytes:
+        return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def encode_word(self, word: str) -> bytes:
+        """The ids of letters alone, which are one word to the tokenizer: its model takes them lower-cased and, beyond ASCII,
+        composed and in the byte-level alphabet. Letters that other tables may class otherwise take the long way."""
+        if not word.isascii():
+            if max(word) > ALPHABETS or "\u03a3" in word or "\u0130" in word:
+                return self.encode_one(word)
+            word = "".join(map(self.alphabet.__getitem__, unicodedata.normalize("NFC", word).lower().encode()))
+        return self.bytes_of([t.id for t in self.model.tokenize(word)])
+
+    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Chunks of letters, with at most a full stop or comma after them, go by words; others are encoded alone."""
+        memo, rare = self.memo, self.rare
+        stems = {c: (w.lower() if w.isascii() else w) for c in chunks for w in (c[:-1] if c[-1] in self.mark else c,)}
+        known = {w for w in stems.values() if w.isalpha()}
+        found = {w: memo.get(w) or rare[w] for w in known if w in memo or w in rare}
+        found |= {w: self.encode_word(w) for w in known if w not in found}
+        return {c: (found[w] if len(w) == len(c) else found[w] + self.mark[c[-1]]) if w in found else self.encode_one(c) for c, w in stems.items()}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo = self.memo
+        memo, rare = self.memo, self.rare
         chunks = [[] if not t or ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({c for some in chunks for c in some if c not in memo})
-        ids = {c: self.bytes_of(e.ids) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(memo) + len(ids) <= MEMO:
-            memo.update(ids)
+        rows = [list(map(memo.get, some)) for some in chunks]
+        lacking = [[k for k, v in enumerate(row) if v is None] if None in row else [] for row in rows]
+        wanted = {some[k] for some, own in zip(chunks, lacking, strict=True) for k in own}
+        ids = {c: rare[c] for c in wanted if c in rare}
+        new = self.encode_chunks([c for c in wanted if c not in ids])
+        ids |= new
+        if len(memo) + len(new) <= MEMO:
+            memo.update(new)
         else:
-            memo.extra = ids
-        out = [b"".join([memo[c] for c in some]) + self.end for some in chunks]
-        for k, t in enumerate(texts):
-            if t and not chunks[k]:
-                out[k] = self.bytes_of(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end
+            if len(rare) + len(new) > MEMO:
+                rare.clear()
+            rare.update(new)
+        out = []
+        for text, some, row, own in zip(texts, chunks, rows, lacking, strict=True):
+            for k in own:
+                row[k] = ids[some[k]]
+            out.append((b"".join(row) if some or not text else self.encode_one(text)) + self.end)
         return out
 
 
