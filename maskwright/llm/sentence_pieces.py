@@ -112,7 +112,9 @@ class PieceCodec:
         self.newline = any("\n" in p for p, _ in pieces.values())
         self.cut = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+" if self.newline else f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
         self.shown = {i: p.replace(MARKER, " ").encode() for i, (p, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        #: The first MEMO parts; and some of the others, emptied when full.
         self.memo: dict[str, bytes] = {}
+        self.rare: dict[str, bytes] = {}
 
     def best(self, part: str) -> tuple[list[int], float]:
         """The best segmentation's ids and its score. part: markers for spaces."""
@@ -145,9 +147,15 @@ class PieceCodec:
         return out[::-1], score[n]
 
     def part(self, part: str) -> bytes:
-        ids = np.array(self.best(part)[0], self.dtype).tobytes()
-        if len(self.memo) < MEMO:
-            self.memo[part] = ids
+        ids = self.rare.get(part)
+        if ids is None:
+            ids = np.array(self.best(part)[0], self.dtype).tobytes()
+            if len(self.memo) < MEMO:
+                self.memo[part] = ids
+            else:
+                if len(self.rare) >= MEMO:
+                    self.rare.clear()
+                self.rare[part] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
