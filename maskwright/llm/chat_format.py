@@ -58,18 +58,21 @@ def jump_tables(nodes: DataFrame, max_rounds: int = 40) -> tuple[list[DataFrame]
 
     step = nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("far"), F.col("score").alias("sum"))
     tables: list[DataFrame] = []
+    ended: DataFrame | None = None
     for k in range(max_rounds):
         step = stored(step, f"jumps-{k}")
-        tables.append(step.where(F.col("up").isNotNull()).select("tree", "node", "up"))
         # A node whose jump passed its root has no `up`: its distance and sum are complete.
-        if tables[-1].isEmpty():
+        done, active = step.where(F.col("up").isNull()), step.where(F.col("up").isNotNull())
+        ended = done if ended is None else ended.unionByName(done)
+        if active.isEmpty():
             break
-        above = step.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
-        step = step.join(above, (step["tree"].eqNullSafe(above["t2"])) & (step["up"] == above["n2"]), "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")
+        tables.append(active.select("tree", "node", "up"))
+        every = ended.unionByName(active)
+        above = every.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
+        step = active.join(above, active["tree"].eqNullSafe(above["t2"]) & (active["up"] == above["n2"])).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum")
         )
-    ended = step.where(F.col("up").isNull()).select("tree", "node", F.col("far").alias("depth"), F.col("sum").alias("path_score"))
-    return tables[:-1], ended
+    return tables, ended.select("tree", "node", F.col("far").alias("depth"), F.col("sum").alias("path_score"))
 
 
 def choose_paths(messages: DataFrame, paths: int | None = 1) -> DataFrame:
