@@ -40,8 +40,8 @@ ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0
 #: The last of the Latin, Greek and Cyrillic letters.
 ALPHABETS = "\u052f"
 BYTES_PER_FILE = 32 << 20
-#: Entries of the memo of white-space-separated chunks, for each Python worker.
-MEMO = 250_000
+#: Chunks whose ids a Python worker keeps: the first ones, and some of the rest.
+MEMO, RARE = 200_000, 100_000
 
 
 class ChunkEncoder:
@@ -100,7 +100,7 @@ class ChunkEncoder:
         if len(memo) + len(new) <= MEMO:
             memo.update(new)
         else:
-            if len(rare) + len(new) > MEMO:
+            if len(rare) + len(new) > RARE:
                 rare.clear()
             rare.update(new)
         out = []
