@@ -8,8 +8,10 @@
 3. The others are read again. Equal sets become one class. Their n-grams, ordered by (document frequency, hash), are
    cut by pivots into FRAGMENTS vertical fragments. Classes that share an n-gram of their prefixes are candidates;
    their overlap is counted in each fragment on its own and summed for each pair.
-4. Links are first sought between neighbours in the prefix lists. Once those have tied a large group together, its other
-   pairs can't change the components; only candidates in different components are counted after that, all of them.
+4. Each list of classes that share a prefix n-gram first compares its members with one member of its largest component.
+   Once that has tied a large group together, its other pairs can't change the components; after ROUNDS rounds, the members
+   outside each list's largest component are compared with all members of other components.
+   Two parity bitmaps differ in at most as many bits as the sets differ in n-grams, which rules out most candidates.
 
 Exact up to collisions of 64-bit hashes. Rows: null and wordless texts have empty sets and link with nothing; repeated
 rows each give a row; rows of one doc_id are one node of the components; a null doc_id links with nothing and has no
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, stored
+from .common import input_bytes, removed, stored
 from .components import components
 from .shingles import pack, pack_sorted, runs, shingle_set, unpack, unpack_sorted
 
@@ -35,6 +37,9 @@ WIDTH, PERCENT = 5, 80
 #: Shingles of a block; hashes that a fragment should hold on average; bytes of input (as files) for each shingle.
 BLOCK, PER_FRAGMENT, BYTES_A_SHINGLE = 2_500_000, 3_000_000, 4
 FRAGMENTS = 4
+#: Longs of a set's parity bitmap.
+WORDS = 8
+ROUNDS = 3
 #: Survivors that may be broadcast when their texts are read again (16 MB of ids); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 BLOCK_SCHEMA = "kind int, block long, fragment int, doc_id long, n long, payload binary"
@@ -149,7 +154,9 @@ def _sets(width: int):
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 sign = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), sign, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "sign", "grams"])
+                odd = np.array([np.packbits(np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).view(np.int64) for s in sets]).reshape(-1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(odd))
+                yield pa.RecordBatch.from_arrays([some.column(0), sign, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), bits], names=["doc_id", "sign", "grams", "bits"])
 
     return run
 
@@ -169,50 +176,73 @@ def similar_pairs(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, perce
     return counted.join(na, "a").join(nb, "b").where(100 * o >= percent * (F.col("na") + F.col("nb") - o)).select("a", "b")
 
 
-def class_links(classes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """classes: rep, n, grams (different sets). Links a, b that have the same components as all similar pairs."""
+def class_links(classes: DataFrame, percent: int) -> DataFrame:
+    """classes: rep, n, grams, bits (different sets). Links a, b that have the same components as all similar pairs."""
     sizes = classes.select("rep", "n")
-    grams = classes.select("rep", "n", F.explode("grams").alias("gram"))
+    grams = classes.select("rep", F.explode("grams").alias("gram"))
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    postings = stored(grams.join(df, "gram"), "postings")
-    order = F.struct("df", "gram")
-    shared = postings.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("shared"))
-    allowed = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.col("shared"))
-    live = shared.withColumn("prefix", allowed.cast("int")).where("prefix > 0").select("rep", "prefix")
-    own = postings.join(live, "rep").groupBy("rep", "n", "prefix").agg(F.array_sort(F.collect_list(order)).alias("ordered"))
-    own = stored(own, "ordered")
-    head = own.select("rep", "n", F.transform(F.slice("ordered", 1, F.col("prefix")), lambda x: x["gram"]).alias("head"))
-    lists = stored(head.select("rep", "n", "head", F.posexplode("head").alias("at", "gram")), "lists")
-    pivots = own.select(F.explode("ordered").alias("o")).agg(F.percentile_approx(F.col("o.df") * F.lit(1 << 20) + F.pmod(F.col("o.gram"), F.lit(1 << 20)), [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000)).first()[0] or []
-    place = sum((((F.col("o.df") * F.lit(1 << 20) + F.pmod(F.col("o.gram"), F.lit(1 << 20))) > p).cast("int") for p in pivots), F.lit(0))
-    segments = own.select("rep", F.explode("ordered").alias("o")).select("rep", place.alias("fragment"), F.col("o.gram").alias("gram"))
-    segments = stored(segments.groupBy("rep", "fragment").agg(F.collect_list("gram").alias("grams")), "segments")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    found, tested, comp = None, None, None
-    for r in range(rounds):
-        near = Window.partitionBy("gram", "part").orderBy("n", F.xxhash64("rep", F.lit(r)))
-        some = lists.where(F.col("at") <= 1 + 2 * r)
-        salted = some.join(some.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(r)), F.ceil(F.col("m") / 5000)))
-        step = salted.select("rep", "n", F.lag("rep").over(near).alias("other"), F.lag("n").over(near).alias("m2")).where(F.col("other").isNotNull() & fits(F.col("n"), F.col("m2")))
-        pairs = step.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    postings = grams.join(df, "gram").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
+    # Of a set's prefix only what others have can bring candidates; the n-grams that nobody shares come first.
+    allowed = (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("ordered"))).cast("int")
+    own = stored(postings.join(sizes, "rep").withColumn("prefix", allowed).where("prefix > 0"), "ordered")
+    lists = stored(own.select("rep", "n", F.posexplode(F.transform(F.slice("ordered", 1, F.col("prefix")), lambda x: x["gram"])).alias("at", "gram")), "lists")
+    rank = lambda o: o["df"] * F.lit(1 << 20) + F.pmod(o["gram"], F.lit(1 << 20))
+    pivots = own.select(F.explode("ordered").alias("o")).agg(F.percentile_approx(rank(F.col("o")), [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000)).first()[0] or []
+    edges = [None, *pivots, None]
+
+    def fragment(lo: int | None, hi: int | None):
+        inside = lambda o: (rank(o) > lo if lo is not None else F.lit(True)) & (rank(o) <= hi if hi is not None else F.lit(True))
+        return F.transform(F.filter("ordered", inside), lambda o: o["gram"])
+
+    cut = F.array(*[fragment(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)])
+    segments = stored(own.select("rep", F.posexplode(cut).alias("fragment", "grams")).where(F.size("grams") > 0), "segments")
+    own_bits = classes.select("rep", "bits")
+
+    def close(na: str, nb: str, x: str, y: str):
+        """Sizes and bitmaps allow an overlap of percent of the union: 2 percent (na + nb) <= (100 + percent) (na + nb - differing bits)."""
+        apart = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(WORDS)), F.lit(0))
+        both = F.col(na) + F.col(nb)
+        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (2 * percent * both <= (100 + percent) * (both - apart))
+
+    found = tested = None
+    comp = sizes.select("rep", F.col("rep").alias("component"))
+    for r in range(ROUNDS):
+        tied = lists.select("gram", "rep").join(comp, "rep")
+        largest = _largest(tied, r)
+        # One member of each list's largest component, the same for most lists of a group.
+        pairs = tied.join(largest, "gram").where("component <> most").select(F.least("rep", "pick").alias("a"), F.greatest("rep", "pick").alias("b")).distinct()
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        info = sizes.join(own_bits, "rep")
+        pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a").join(info.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+        pairs = stored(pairs.where(close("na", "nb", "xa", "xb")).select("a", "b"), "pairs")
         new = stored(similar_pairs(pairs, segments, sizes, percent), "links")
         found = new if found is None else found.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    comp = stored(components(found), "components")
-    tied = lists.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = tied.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+        comp = components(found).select(F.col("node").alias("rep"), "component")
+        comp = stored(sizes.select("rep").join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "components")
+    tied = lists.select("gram", "at", "rep", "n").join(comp, "rep")
+    largest = _largest(tied, ROUNDS)
+    mixed = largest.where("m < total").select("gram", "most")
     tied = stored(tied.join(mixed, "gram"), "tied")
-    x = tied.select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("head").alias("ha"))
-    y = tied.select(F.col("gram").alias("g2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("head").alias("hb"))
+    heads = tied.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("h")).select("rep", F.transform("h", lambda x: x["gram"]).alias("head"))
+    tied = stored(tied.join(heads, "rep").join(own_bits, "rep"), "tied")
+    x = tied.where("component <> most").select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("head").alias("ha"), F.col("bits").alias("xa"))
+    y = tied.select(F.col("gram").alias("g2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("most")).alias("main"), F.col("head").alias("hb"), F.col("bits").alias("xb"))
     # A pair counts once: at the first n-gram that the two prefixes share.
     first = F.element_at(F.array_intersect("ha", "hb"), 1) == F.col("gram")
-    rest = x.join(y, (F.col("gram") == F.col("g2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & first).select("a", "b")
-    if tested is not None:
-        rest = rest.join(tested, ["a", "b"], "left_anti")
-    rest = stored(rest, "pairs")
+    on = (F.col("gram") == F.col("g2")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & close("na", "nb", "xa", "xb") & first
+    rest = x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     new = stored(similar_pairs(rest, segments, sizes, percent), "links")
-    return new if found is None else found.unionByName(new)
+    return found.unionByName(new)
+
+
+def _largest(tied: DataFrame, r: int) -> DataFrame:
+    """For each gram of tied (gram, rep, component): most (the component with most members in its list), m (how many), total, and
+    pick, a member of it. Two aggregations that Spark combines before their shuffles."""
+    counts = tied.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("rep", F.xxhash64("rep", F.lit(r))).alias("pick"))
+    best = F.max(F.struct("m", F.xxhash64("pick", F.lit(r)).alias("h"), "component", "pick"))
+    return counts.groupBy("gram").agg(best.alias("x"), F.sum("m").alias("total")).select("gram", F.col("x.component").alias("most"), F.col("x.m").alias("m"), F.col("x.pick").alias("pick"), "total")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -226,20 +256,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     sets = blocks.where("kind = 1").select("block", "payload")
     left = sets.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_survivors(percent), "doc_id long")
     left = stored(left.distinct(), "survivors")
+    rows = stored(blocks.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles")), "rows")
+    removed(blocks)
     chosen = F.broadcast(left) if left.count() <= MOST_BROADCAST else left
-    again = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, sign binary, grams array<long>")
+    again = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, sign binary, grams array<long>, bits array<long>")
     again = stored(again.where(F.size("grams") > 0), "sets")
     # One row of each class carries the set; all others only their sign.
     reps = again.groupBy("sign").agg(F.min("doc_id").alias("rep"))
     member = again.select("doc_id", "sign").distinct().join(reps, "sign")
-    holder = again.join(reps, "sign").where(F.col("doc_id") == F.col("rep")).select("sign", "rep", "grams").dropDuplicates(["sign"])
-    classes = stored(holder.select("sign", "rep", "grams").withColumn("c", F.monotonically_increasing_id()), "classes")
-    found = class_links(classes.select(F.col("c").alias("rep"), F.size("grams").cast("long").alias("n"), "grams"), percent)
+    holder = again.join(reps, "sign").where(F.col("doc_id") == F.col("rep")).select("sign", "rep", "grams", "bits").dropDuplicates(["sign"])
+    classes = stored(holder.withColumn("c", F.monotonically_increasing_id()), "classes")
+    found = class_links(classes.select(F.col("c").alias("rep"), F.size("grams").cast("long").alias("n"), "grams", "bits"), percent)
     names = classes.select("c", "rep")
     named = found.join(names.select(F.col("c").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("c").alias("b"), F.col("rep").alias("rb")), "b")
     ties = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(ties))
-    rows = blocks.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
