@@ -15,6 +15,7 @@ from .language_id import fit_and_predict
 from .lm_score import score_documents
 from .pii import pii_report
 from .sentence_pieces import encode_documents
+from .substring_dedup import repeated_passages
 from .token_files import token_files_digest
 
 
@@ -59,6 +60,10 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -121,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_sentence_pieces": op5_sentence_pieces,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
