@@ -39,7 +39,7 @@ from .shingles import mix, pack, pack_sorted, unpack, unpack_sorted, words_of
 
 DISCOUNT, ADDED = 0.75, 0.1
 #: Tokens of a block; bigrams that a fragment should get; bytes of input (as files) for each token.
-BLOCK, PER_FRAGMENT, BYTES_A_TOKEN = 2_500_000, 3_000_000, 4
+BLOCK, PER_FRAGMENT, BYTES_A_TOKEN = 2_500_000, 1_500_000, 4
 #: A context with this part of all tokens or more, in a block, is reported; with half of it in all, it is dealt over all fragments.
 MOST_SHARE = 1024
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xA24BAED4963EE407)
@@ -171,7 +171,7 @@ def _answers(hot: dict[int, int]):
         asked = []
         for payload in frame["payload"]:
             u, n, w, at, c = parts(payload)
-            asked.append((unpack_sorted(u), unpack(n).astype(np.int64), unpack_sorted(w), unpack(at).astype(np.int64), unpack(c).astype(np.int64)))
+            asked.append((unpack_sorted(u), unpack(n).astype(np.int32), unpack_sorted(w), unpack(at).astype(np.int32), unpack(c).astype(np.int32)))
         words = np.unique(np.concatenate([a[2] for a in asked]))
         contexts = np.unique(np.concatenate([a[0] for a in asked]))
         keys, counts = [], []
@@ -181,8 +181,10 @@ def _answers(hot: dict[int, int]):
             keys.append(own)
             counts.append(c[seen])
         key, count = np.concatenate(keys), np.concatenate(counts)
+        del keys, counts, own, seen
         order = np.argsort(key, kind="stable")
         key, count = key[order], count[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         key, count = key[starts], np.add.reduceat(count, starts) if len(starts) else count[:0]
         context, word = key // len(words), key % len(words)
