@@ -161,15 +161,16 @@ def predict(docs: DataFrame, model: LanguageFilters, keep: list[str]) -> DataFra
     """The columns `keep` of docs, then lang_pred and score."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2^bits rows: bounded by 1 / LEAST_SHARE
-    own = docs.select(*keep, F.col("text").alias("__text"))
-    schema = own.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    own = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    at_text = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(at_text).to_pylist()
             for at, group in in_groups(texts):
                 lang, score = sent.value.predict(group)
-                rest = [c.slice(at, len(group)) for c in batch.columns[:-1]]
+                rest = [c.slice(at, len(group)) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return own.mapInArrow(run, schema)
