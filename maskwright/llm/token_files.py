@@ -39,9 +39,9 @@ INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 #: The last of the Latin, Greek and Cyrillic letters.
 ALPHABETS = "\u052f"
-BYTES_PER_FILE = 32 << 20
+BYTES_PER_FILE = 8 << 20
 #: Chunks whose ids a Python worker keeps: the first ones, and some of the rest.
-MEMO, RARE = 200_000, 100_000
+MEMO, RARE = 300_000, 200_000
 
 
 class ChunkEncoder:
