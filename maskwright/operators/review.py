@@ -57,7 +57,7 @@ def impossible_name(word: str) -> bool:
         return (
             not 3 <= len(part) < 25
             or any(not ("а" <= c <= "я" or c == "ё") for c in low)
-            or re.search(r"(.)\1\1", part) is not None
+            or re.search(r"(.)\1\1", low) is not None
             or not VOWELS & set(low)
             or part.isupper() and len(part) == 3
         )
