@@ -35,7 +35,7 @@ from .shingles import pack, pack_sorted, runs, shingle_set, unpack, unpack_sorte
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a block; hashes that a fragment should hold on average; bytes of input (as files) for each shingle.
-BLOCK, PER_FRAGMENT, BYTES_A_SHINGLE = 2_500_000, 3_000_000, 4
+BLOCK, PER_FRAGMENT, BYTES_A_SHINGLE = 1_200_000, 2_000_000, 4
 FRAGMENTS = 4
 #: Longs of a set's parity bitmap.
 WORDS = 8

@@ -31,7 +31,7 @@ HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SAMPLE_DOCS, LEAST_SHARE = 600, 3e-5
 #: An n-gram joins a language's filter if its share there is at least this part of its largest share anywhere.
 PART_OF_LARGEST = 0.2
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 
 
 @lru_cache(1)
@@ -167,11 +167,12 @@ def predict(docs: DataFrame, model: LanguageFilters, keep: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at_text).to_pylist()
-            for at, group in in_groups(texts):
-                lang, score = sent.value.predict(group)
-                rest = [c.slice(at, len(group)) for c in batch.columns[: len(keep)]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
+                for at, group in in_groups(some.column(at_text).to_pylist()):
+                    lang, score = sent.value.predict(group)
+                    rest = [c.slice(at, len(group)) for c in some.columns[: len(keep)]]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return own.mapInArrow(run, schema)
 
