@@ -39,7 +39,7 @@ def unescape(text: Column) -> Column:
 
 
 def message(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(START), F.regexp_replace(escape(role), "\n", r"\\\\\n"), F.lit("\n"), escape(text), F.lit(END + "\n"))
+    return F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"), escape(text), F.lit(END + "\n"))
 
 
 def parse(formatted: Column) -> Column:
@@ -51,15 +51,16 @@ def parse(formatted: Column) -> Column:
     return F.transform(bodies, lambda p: F.struct(unescape(head(p)).alias("role"), unescape(text(p)).alias("text")))
 
 
-def jump_tables(nodes: DataFrame, max_rounds: int = 40) -> tuple[list[DataFrame], DataFrame]:
+def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """For k = 0, 1, ...: (tree, node, up) with up the ancestor 2^k above, and at the end one row for each node
     that a root reaches: tree, node, root, depth, path_score."""
     from .common import stored
 
-    step = nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("far"), F.col("score").alias("sum"))
+    step = nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("far"), F.col("score").alias("sum"))
     tables: list[DataFrame] = []
     ended: DataFrame | None = None
-    for k in range(max_rounds):
+    # No path is longer than the number of messages: what then still jumps runs in a cycle.
+    for k in range(nodes.count().bit_length() + 1):
         step = stored(step, f"jumps-{k}")
         # A node whose jump passed its root has no `up`: its distance and sum are complete.
         done, active = step.where(F.col("up").isNull()), step.where(F.col("up").isNotNull())
