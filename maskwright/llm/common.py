@@ -59,9 +59,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's size; for a table scan, the size of its files."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Catalyst's estimate of a frame's size (for a table scan, the size of its files); where it has none, the bytes of `text`."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return size
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:

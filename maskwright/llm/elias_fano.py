@@ -106,13 +106,14 @@ class EliasFano:
 
 
 def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from 0 and the code book: bins of about equally many values, each standing for its values' mean."""
+    """Codes from 0 and the code book: bins of equal width, each standing for its values' mean. So no value moves by more than a
+    bin's width, a 255th of the values' range."""
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1)
     distinct = np.unique(values)
     if len(distinct) <= levels:
         return np.searchsorted(distinct, values).astype(np.uint8), distinct
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, levels + 1)[1:-1]))
+    edges = np.linspace(distinct[0], distinct[-1], levels + 1)[1:-1]
     codes = np.searchsorted(edges, values, "left")
     n = np.bincount(codes, minlength=len(edges) + 1)
     book = np.bincount(codes, values, len(edges) + 1) / np.maximum(n, 1)
