@@ -13,6 +13,9 @@ from ..rules import Rule
 DRIVER = re.compile(P.DRIVER_CONTEXT, re.IGNORECASE)
 PLACEHOLDER = re.compile(P.PLACEHOLDER)
 WORD = "0-9A-Za-zА-Яа-яЁё"
+CYRILLIC, DIGIT = re.compile("[А-Яа-яЁё]"), re.compile(r"\d")
+#: Rules of ANY_SCRIPT whose matches hold a digit.
+DIGIT_RULES = frozenset("CREDIT_CARD SNILS_FMT PHONE CONTRACT_NUM CONTRACT_QUOTED AMOUNT BANK_ACCOUNT_FMT CADASTRE DATE".split())
 
 
 @dataclass(frozen=True)
@@ -89,7 +92,14 @@ def find(rule: Rule, text: str) -> list[Span]:
 
 def detect(text: str, rules: Iterable[Rule | Callable[[str], list[Span]]]) -> list[Span]:
     """All rules' spans in registry order; they may overlap. A rule may also be any function from a text to spans."""
-    return [s for rule in rules for s in (find(rule, text) if isinstance(rule, Rule) else rule(text))]
+    cyrillic, digit = CYRILLIC.search(text) is not None, DIGIT.search(text) is not None
+    out: list[Span] = []
+    for rule in rules:
+        if not isinstance(rule, Rule):
+            out += rule(text)
+        elif (cyrillic or not rule.cyrillic) and (digit or rule.name not in DIGIT_RULES):
+            out += find(rule, text)
+    return out
 
 
 class Taken:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import patterns as P
 from ..operators import filters, glossary, spans as S
-from ..operators.review import apply_verdicts, candidates, recall, verdicts
+from ..operators.providers import reply_objects
+from ..operators.review import apply_verdicts, beside_kept, candidates, judge_numbers, recall, same_text, snippet, verdicts
 from ..rules import CORPORATE, DATES, DEFAULT, Rule
 
 LONG_DIGITS, EMAIL_LIKE, ANY_PLACEHOLDER = re.compile(P.LONG_DIGITS), re.compile(P.EMAIL_LIKE), re.compile(P.PLACEHOLDER_ANY)
@@ -80,6 +81,24 @@ def leaked(text: str, spans: list[S.Span], placeholders: list[str], detectors: t
     return [S.Span(a, b, label, value, "llm2") for value, label in sorted(found) for a, b in S.occurrences(text, value) if taken.free(a, b)]
 
 
+def yes_or_no(ask: Callable[[str], str], values: list[tuple[str, str]]) -> dict[str, bool]:
+    """For (value, context) pairs: whether the reply says to mask each. Values that it doesn't echo have no answer."""
+    out = {}
+    for x in reply_objects(ask("\n".join(f"{k}. {value} : {context}" for k, (value, context) in enumerate(values)))):
+        k = x.get("id")
+        if isinstance(k, int) and 0 <= k < len(values) and same_text(str(x.get("text", "")), values[k][0]) and isinstance(x.get("mask"), bool):
+            out[values[k][0]] = x["mask"]
+    return out
+
+
+def answered(ask: Callable[[str], str], text: str, spans: list[S.Span]) -> dict[str, bool]:
+    """yes_or_no of the spans' values; no answers if the call fails."""
+    try:
+        return yes_or_no(ask, list({s.text: (s.text, snippet(text, s)) for s in spans}.values())) if spans else {}
+    except Exception:  # noqa: BLE001 - no answer
+        return {}
+
+
 def mask(text: str, config: PipelineConfig, detectors: list | None = None) -> Result:
     protected = S.placeholder_ranges(text)
     warnings: list[dict] = []
@@ -101,7 +120,11 @@ def mask(text: str, config: PipelineConfig, detectors: list | None = None) -> Re
         try:
             lines = "\n".join(f'{k}. [{c.label}] "{c.text}" : {c.context}' for k, c in enumerate(asked.values()))
             reply = config.review(lines) if asked else "[]"
-            spans = S.resolve(apply_verdicts(text, spans, asked, verdicts(reply, list(asked.values())), config.names))
+            judged = S.resolve(apply_verdicts(text, spans, asked, verdicts(reply, list(asked.values())), config.names))
+            gone = [s for s in spans if not any(s.start == k.start for k in judged)]
+            answers = answered(config.review, text, beside := beside_kept(text, gone, judged))
+            judged = S.resolve(judged + [s for s in beside if answers.get(s.text) is not False])
+            spans = judge_numbers(text, judged, lambda values: yes_or_no(config.review, values))
         except Exception as error:  # noqa: BLE001 - a review that fails leaves everything masked
             warnings.append({"kind": "review_failed", "message": str(error)})
     if config.recall:

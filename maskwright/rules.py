@@ -9,12 +9,17 @@ from functools import cached_property
 from . import patterns as P
 
 
+#: Rules that match texts without Cyrillic letters, too.
+ANY_SCRIPT = frozenset(
+    "EMAIL URL ACCOUNT IP_ADDRESS CREDIT_CARD SNILS_FMT PHONE CONTRACT CONTRACT_NUM CONTRACT_QUOTED FILE AMOUNT BANK_ACCOUNT_FMT VIN CADASTRE DATE".split()
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     """One detector: `groups` names the groups that are reported (0: the whole match); `span`: one span from the first
     group's start to the last one's end. `anchor` says where group 1 lies in the match, for engines that give only its text: W
-    (whole match), T (at its end), H (at its start), P (one character before its end). `need`: a text without any of these
-    characters or words (lower-cased) can't match."""
+    (whole match), T (at its end), H (at its start), P (one character before its end)."""
 
     name: str
     label: str
@@ -30,6 +35,11 @@ class Rule:
     def regex(self) -> re.Pattern:
         return re.compile(self.pattern, re.IGNORECASE if self.ignorecase else 0)
 
+    @property
+    def cyrillic(self) -> bool:
+        """Whether a match must hold a Cyrillic letter; texts without one then skip the rule."""
+        return self.name not in ANY_SCRIPT
+
     @property
     def java(self) -> str:
         return ("(?iuU)" if self.ignorecase else "(?U)") + self.pattern

@@ -104,3 +104,13 @@ def test_masked(text, value, entities):
     assert value not in r.masked and len(r.mapping) == entities
     for s in r.spans:
         assert text[s.start : s.end] == s.text
+
+
+def test_skips_change_nothing():
+    """Rules that are skipped for texts without Cyrillic letters or digits find nothing there."""
+    texts = ["The quick a@b.com, see http://x.ru and +1 212 555 0187, $100, № AB-12, VIN XTA210990Y2765432", "no digits: a@b.com @handle report.docx № ABC-D", *[t for _, t, _ in EXACT]]
+    from maskwright.operators.spans import detect
+
+    for text in texts:
+        every = [s for rule in (*DEFAULT, *CORPORATE, *DATES) for s in find(rule, text)]
+        assert detect(text, (*DEFAULT, *CORPORATE, *DATES)) == every

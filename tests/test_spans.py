@@ -183,3 +183,18 @@ def test_plan_properties(text):
     assert all(p.end <= q.start for p, q in zip(r.spans, r.spans[1:], strict=False))
     assert all(text[s.start : s.end] == s.text for s in r.spans)
     assert all(k in r.masked for k in r.mapping)
+
+
+def test_second_questions():
+    """A dropped person beside a kept one is asked for again (no answer: masked); a short number without an answer is unmasked."""
+    persons = lambda t: [S.Span(0, 4, "PERSON", "День", "llm"), S.Span(5, 11, "PERSON", "Вайгус", "llm")] if t.startswith("День Вайгус") else []
+    numbers = lambda t: [S.Span(t.index("777"), t.index("777") + 3, "ADMIN_CODE", "777", "llm")] if "777" in t else []
+
+    def config(*replies):
+        left = list(replies)
+        return PipelineConfig(providers=(persons, numbers), names=Names(), review=lambda p: left.pop(0) if left else "[]")
+
+    text = "День Вайгус, код 777"
+    drop = '[{"id":0,"text":"День","keep":false}]'
+    assert mask(text, config(drop)).masked == "[PERSON_1] [PERSON_2], код 777"
+    assert mask(text, config(drop, '[{"id":0,"text":"День","mask":false}]', '[{"id":0,"text":"777","mask":true}]')).masked == "День [PERSON_1], код [ADMIN_CODE_1]"
