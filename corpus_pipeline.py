@@ -17,15 +17,15 @@ from maskwright.llm.language_id import fit, predict
 from maskwright.llm.pii import mask_pii
 from maskwright.llm.sentence_pieces import encode_documents
 
-#: Documents whose language filters hold less than this part of their n-grams are in none of the learned languages.
-LEAST_LANGUAGE_SCORE = 0.1
+#: Documents whose language filters hold less than this part of their n-grams are in none of the learned languages; shorter ones have too few to tell.
+LEAST_LANGUAGE_SCORE, LEAST_CHARS = 0.1, 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those in none of the languages that `documents` teaches; `lang` becomes the predicted language."""
     columns = docs.columns
     found = predict(docs, fit(docs), columns)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    kept = found.where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_LANGUAGE_SCORE) | (F.length("text") < LEAST_CHARS)))
     return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
 
 

@@ -82,7 +82,7 @@ MAX_TOKENS = 14
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 #: Where a zone may be: at least seven digits with up to three separators between, or words for @ and dot.
 NUMBERS = re.compile(r"[0-9](?:[\s().\[\]/,_+-]{0,3}[0-9]){6,}|[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}")
-AT_DOT = re.compile(r"[A-Za-z0-9._-]+\s?(?:\(at\)|\[at\]|@|\bat\b)\s?[A-Za-z0-9.-]+(?:\s?(?:\(dot\)|\[dot\]|\bdot\b|\s\.)\s?[A-Za-z0-9-]+)*")
+AT_DOT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+\s?(?:\(at\)|\[at\]|@|\bat\b)\s?[A-Za-z0-9.-]+(?:\s?(?:\(dot\)|\[dot\]|\bdot\b|\s\.)\s?[A-Za-z0-9-]+)*")
 WORDS_FOR_DOT = (" dot ", "(dot)", "[dot]", " @ ")
 MARGIN = 40
 CUES = {0: {"email", "mail", "e-mail", "contact", "write"}, 1: {"ip", "host", "address", "server"}, 2: {"card", "visa", "mastercard", "credit"}, 3: {"phone", "tel", "call", "mobile", "fax", "telephone"}}
