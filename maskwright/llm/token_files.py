@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, workspace
+from .common import claim, keeps, parts_for, workspace
 
 SKIP_FRAME = b"P*M\x18\x00\x00\x00\x00"
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -117,6 +117,9 @@ def encoder_of(path: str, end_id: int) -> ChunkEncoder:
     return ChunkEncoder(path, end_id)
 
 
+keeps("token_files", encoder_of.cache_clear)
+
+
 def _encode_batches(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -125,7 +128,8 @@ def _encode_batches(path: str, end_id: int, bounds: np.ndarray):
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, press = encoder_of(path, end_id), zstandard.ZstdCompressor(level=3, write_checksum=True)
+        claim("token_files")
+        encoder, press = encoder_of(path, end_id), zstandard.ZstdCompressor(level=1, write_checksum=True)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             shard = [0 if i is None else int(np.searchsorted(bounds, i, "left")) for i in ids]
