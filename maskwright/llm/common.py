@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def removed(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What operators keep in a Python worker between tasks, and how to let go of it.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], object]) -> None:
+    _KEPT[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """Called where an operator starts in a worker: what the others keep there goes, so that memory doesn't add up over the stages of a job."""
+    for name, clear in _KEPT.items():
+        if name != owner:
+            clear()
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -131,7 +131,13 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, n: int = WINDO
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, largest_share: float = 0.5) -> DataFrame:
     """Removes hit words from documents, with the text between neighbouring hit words, and drops documents of
     whose words more than largest_share are hit. Returns the columns of docs; all others stay as they are."""
+    from .common import stored
+
     found = by_document(docs, benchmark, n).where(F.size("hit_at") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "hit_at", (F.size("hit_at") > largest_share * F.col("n_words")).alias("__drop"))
+    found = stored(found, "hits")
+    # Where hits are few (at most 16 MB of rows and positions) the texts stay where they are.
+    few = found.agg(F.sum(F.size("hit_at") + 10)).first()[0] or 0
+    found = F.broadcast(found) if few <= 4_000_000 else found
     own = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = own.join(found, own["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
     # Words and the gaps around them: gap 0, word 0, gap 1, ... A hit word goes together with the gap after it.

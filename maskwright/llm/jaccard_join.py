@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, removed, stored
+from .common import claim, input_bytes, removed, stored
 from .components import components
 from .shingles import pack, pack_sorted, runs, shingle_set, unpack, unpack_sorted
 
@@ -40,7 +40,7 @@ FRAGMENTS = 4
 #: Longs of a set's parity bitmap.
 WORDS = 8
 ROUNDS = 3
-#: Survivors that may be broadcast when their texts are read again (16 MB of ids); more are joined by a shuffle.
+#: Ids that may be broadcast to where their texts are read again (16 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 BLOCK_SCHEMA = "kind int, block long, fragment int, doc_id long, n long, payload binary"
 
@@ -85,6 +85,7 @@ def _blocks(width: int, bits: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("shingles")
         block = TaskContext.get().partitionId() << 32
         ids, sets, size = [], [], 0
         for batch in batches:
@@ -276,5 +277,5 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest (or null); of rows that repeat a doc_id all stay."""
-    gone = jaccard_components(docs, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(jaccard_components(docs, percent).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, keeps
+
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts whose ids a Python worker keeps.
@@ -181,11 +183,15 @@ def codec_of(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
+keeps("sentence_pieces", codec_of.cache_clear)
+
+
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """One row for each row: doc_id, n_pieces, ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), and
     round_trip: decoding the ids gives the text again, character for character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentence_pieces")
         codec = codec_of(model_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):

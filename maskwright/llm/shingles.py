@@ -8,8 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import keeps
+
 #: Words whose hashes a Python worker keeps.
-MEMO = 300_000
+MEMO = 200_000
 #: Odd multipliers of the shingle hash, one for each place.
 PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -31,6 +33,9 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+keeps("shingles", word_hashes.cache_clear)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but space and the characters 9 to 13, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
