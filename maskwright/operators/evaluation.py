@@ -90,3 +90,8 @@ def errors(found: DataFrame, n: int = 20) -> DataFrame:
     kind = F.when((F.col("side") == "gold") & ~F.col("covered"), "TRUEMISS").when((F.col("side") == "gold") & ~F.col("hit"), "MISMATCH").when((F.col("side") == "pred") & ~F.col("hit"), "FP")
     order = Window.partitionBy("category", "kind").orderBy("row", "start", "end")
     return found.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select("category", "kind", "n", "row", "start", "end")
+
+
+def demo(results: DataFrame, n: int = 5) -> DataFrame:
+    """Masked text and mapping of n rows, to look at."""
+    return results.select("masked", "mapping").limit(n)

@@ -18,8 +18,11 @@ from .. import patterns as P
 from .chunking import chunks
 from .spans import Span, occurrences
 
-#: A NER model's labels and ours; generic words that aren't entities.
-NER_LABELS = {"PER": "PERSON", "LOC": "LOCATION", "ORG": "ORG", "person": "PERSON", "location": "LOCATION", "organization": "ORG"}
+#: NER models' labels and ours.
+NER_LABELS = {
+    "PER": "PERSON", "LOC": "LOCATION", "ORG": "ORG", "person": "PERSON", "first name": "PERSON", "last name": "PERSON", "nickname": "PERSON", "location": "LOCATION",
+    "address": "LOCATION", "organization": "ORG",
+}
 
 
 class NerProvider(Protocol):

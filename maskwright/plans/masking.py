@@ -52,6 +52,7 @@ class Result:
     spans: list[S.Span]
     preexisting: int
     warnings: list[dict]
+    surfaces: dict[str, str] = field(default_factory=dict)  # surface form to placeholder
 
     @property
     def summary(self) -> dict[str, int]:
@@ -138,7 +139,10 @@ def mask(text: str, config: PipelineConfig, detectors: list | None = None) -> Re
     mapping, placeholders = S.number(spans, first)
     masked, replaced = S.substitute(text, spans, placeholders, config.everywhere)
     mapping = {k: v for k, v in mapping.items() if k in masked}
-    return Result(masked, {} if config.irreversible else mapping, replaced, len(protected), residual(masked) + warnings)
+    surfaces: dict[str, str] = {}
+    for s, p in zip(spans, placeholders, strict=True):
+        surfaces.setdefault(s.text, p)
+    return Result(masked, {} if config.irreversible else mapping, replaced, len(protected), residual(masked) + warnings, surfaces)
 
 
 RESULT = (

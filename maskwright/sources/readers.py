@@ -190,6 +190,33 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, name string, text string, error string")
 
 
+def mask_files(spark: SparkSession, path: str, config=None) -> DataFrame:
+    """path, masked, mapping (JSON), rebuilt (a .docx with its structure, else null), error: one row for each file. Documents are rebuilt
+    from surface forms, so that inflected and merged names don't stay readable."""
+    import json
+
+    from ..plans.masking import PipelineConfig, mask
+
+    config = config or PipelineConfig()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    schema = pa.schema([("path", pa.string()), ("masked", pa.string()), ("mapping", pa.string()), ("rebuilt", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detectors = config.detectors()
+        for batch in batches:
+            for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row = dict.fromkeys(schema.names) | {"path": where}
+                try:
+                    r = mask(text_of(where, data or b""), config, detectors)
+                    row |= {"masked": r.masked, "mapping": None if config.irreversible else json.dumps(r.mapping, ensure_ascii=False)}
+                    row["rebuilt"] = docx_rebuilt(data, r.surfaces) if where.lower().endswith(".docx") else None
+                except Exception as e:  # noqa: BLE001 - one bad file is a row with an error, never its text
+                    row["error"] = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return files.mapInArrow(run, "path string, masked string, mapping string, rebuilt binary, error string")
+
+
 def read_benchmark(spark: SparkSession, path: str, sample: float | None = None, seed: int = 42, limit: int | None = None) -> DataFrame:
     """row, text, tokens, ner_tags from a CSV with text, tokens and ner_tags (JSON arrays)."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"').select("text", F.from_json("tokens", "array<string>").alias("tokens"), F.from_json("ner_tags", "array<string>").alias("ner_tags"))

@@ -134,6 +134,26 @@ def test_readers(spark, tmp_path):
     assert rows["a.txt"].text == "текст" and rows["b.docx"].text.startswith("Иван") and rows["c.pptx"].error and rows["d.docx"].text is None
 
 
+def test_mask_files(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(_docx("Носов Д.В. пишет", "x"))
+    (tmp_path / "b.pptx").write_bytes(b"x")
+    rows = {r.path.rpartition("/")[2]: r for r in readers.mask_files(spark, str(tmp_path)).collect()}
+    assert rows["a.docx"].masked.startswith("[PERSON_1]") and readers.docx(rows["a.docx"].rebuilt).startswith("[PERSON_1]")
+    assert rows["b.pptx"].error and rows["b.pptx"].masked is None
+
+
+def test_restore_one(tmp_path):
+    from maskwright import load_mapping, mask, restore, save_mapping, unknown
+
+    text = "Почта a@b.ru, ИНН 7711222333."
+    r = mask(text, PipelineConfig())
+    save_mapping(r.mapping, tmp_path / "m.json")
+    assert restore(r.masked, load_mapping(tmp_path / "m.json"), strict=True) == text
+    assert unknown("[CITY_1] неизвестен.", {}) == ["[CITY_1]"] and restore("[CITY_1]", {}) == "[CITY_1]"
+    with pytest.raises(KeyError):
+        restore("[CITY_1]", {"[A_1]": "x"}, strict=True)
+
+
 def test_benchmark_and_forms(spark, tmp_path):
     p = tmp_path / "b.csv"
     p.write_text('text,tokens,ner_tags\n"a, b","[""a"",""b""]","[""O"",""B-CITY""]"\n', encoding="utf-8")
