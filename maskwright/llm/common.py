@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -60,6 +63,14 @@ def claim(owner: str) -> None:
             clear()
 
 
+def let_go() -> None:
+    """Called where an operator ends in a worker: gives freed memory back to the system. Workers live on between tasks, and an executor's memory
+    is what its JVM and its workers hold together."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, input_bytes, removed, stored
+from .common import claim, input_bytes, let_go, removed, stored
 from .components import components
-from .shingles import pack, pack_sorted, runs, shingle_set, unpack, unpack_sorted
+from .shingles import pack, pack_sorted, shingle_set, unpack, unpack_sorted, word_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a block; hashes that a fragment should hold on average; bytes of input (as files) for each shingle.
@@ -98,6 +98,9 @@ def _blocks(width: int, bits: int, fragments: int):
                     block, ids, sets, size = block + 1, [], [], 0
         if ids:
             yield from flush(block, ids, sets)
+        del ids, sets
+        word_hashes.cache_clear()
+        let_go()
 
     return run
 
@@ -124,6 +127,8 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
         found = np.zeros(len(values), bool) if not len(twice) else twice[np.minimum(at, len(twice) - 1)] == values
         found |= np.unpackbits(np.frombuffer(body[1], np.uint8), count=len(values)).astype(bool)
         out.append(len(values).to_bytes(8, "little") + np.packbits(found).tobytes())
+    del each, every, twice
+    let_go()
     return pd.DataFrame({"block": frame["block"], "fragment": frame["fragment"], "answer": out})
 
 
@@ -158,6 +163,8 @@ def _sets(width: int):
                 odd = np.array([np.packbits(np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).view(np.int64) for s in sets]).reshape(-1)
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(odd))
                 yield pa.RecordBatch.from_arrays([some.column(0), sign, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), bits], names=["doc_id", "sign", "grams", "bits"])
+        word_hashes.cache_clear()
+        let_go()
 
     return run
 

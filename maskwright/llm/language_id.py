@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, remainder
+from .common import claim, let_go, remainder
 
 N = 3
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -174,6 +174,7 @@ def predict(docs: DataFrame, model: LanguageFilters, keep: list[str]) -> DataFra
                     lang, score = sent.value.predict(group)
                     rest = [c.slice(at, len(group)) for c in some.columns[: len(keep)]]
                     yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        let_go()
 
     return own.mapInArrow(run, schema)
 
