@@ -20,6 +20,9 @@ from maskwright.llm.sentence_pieces import encode_documents
 #: Documents whose language filters hold less than this part of their n-grams are in none of the learned languages; shorter ones have too few to tell.
 LEAST_LANGUAGE_SCORE, LEAST_CHARS = 0.1, 40
 
+#: The stages share their executors' memory, so the last one keeps fewer parts than the operator alone does.
+PIECE_MEMO = 50_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those in none of the languages that `documents` teaches; `lang` becomes the predicted language."""
@@ -46,7 +49,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' SentencePiece ids."""
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), PIECE_MEMO)
 
 
 def with_length(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from .common import claim, keeps
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Parts whose ids a Python worker keeps.
+#: Parts whose ids a Python worker keeps, twice: the first ones, and some of the others.
 MEMO = 250_000
 
 
@@ -94,9 +94,10 @@ class DoubleArray:
 
 
 class PieceCodec:
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, memo: int = MEMO):
         from sentencepiece import SentencePieceProcessor
 
+        self.room = memo
         model = SentencePieceProcessor(model_file=model_file)
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -114,7 +115,7 @@ class PieceCodec:
         self.newline = any("\n" in p for p, _ in pieces.values())
         self.cut = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+" if self.newline else f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
         self.shown = {i: p.replace(MARKER, " ").encode() for i, (p, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
-        #: The first MEMO parts; and some of the others, emptied when full.
+        #: The first parts; and some of the others, emptied when full.
         self.memo: dict[str, bytes] = {}
         self.rare: dict[str, bytes] = {}
 
@@ -152,10 +153,10 @@ class PieceCodec:
         ids = self.rare.get(part)
         if ids is None:
             ids = np.array(self.best(part)[0], self.dtype).tobytes()
-            if len(self.memo) < MEMO:
+            if len(self.memo) < self.room:
                 self.memo[part] = ids
             else:
-                if len(self.rare) >= MEMO:
+                if len(self.rare) >= self.room:
                     self.rare.clear()
                 self.rare[part] = ids
         return ids
@@ -178,21 +179,21 @@ class PieceCodec:
 
 
 @lru_cache(2)
-def codec_of(model_file: str) -> PieceCodec:
+def codec_of(model_file: str, memo: int = MEMO) -> PieceCodec:
     """One for each Python worker."""
-    return PieceCodec(model_file)
+    return PieceCodec(model_file, memo)
 
 
 keeps("sentence_pieces", codec_of.cache_clear)
 
 
-def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, memo: int = MEMO) -> DataFrame:
     """One row for each row: doc_id, n_pieces, ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), and
-    round_trip: decoding the ids gives the text again, character for character."""
+    round_trip: decoding the ids gives the text again, character for character. memo trades a worker's memory for time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("sentence_pieces")
-        codec = codec_of(model_file)
+        codec = codec_of(model_file, memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 some = batch.slice(at, 250)

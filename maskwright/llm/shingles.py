@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -97,11 +96,3 @@ def pack_sorted(values: np.ndarray) -> bytes:
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
-
-
-def runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Start and end of each part of an array that was made of parts of these sizes."""
-    end = 0
-    for n in sizes.tolist():
-        yield end, end + n
-        end += n
