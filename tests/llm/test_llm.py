@@ -299,6 +299,29 @@ def test_repeated_passages(spark):
     assert SD.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_neighbouring_passages():
+    """Passages that stand near each other are all found, whatever is between them on either side; against brute force."""
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    for before, gap, after in ((60, 35, 60), (40, 45, 40), (60, 31, 45), (31, 12, 33), (200, 50, 35)):
+        p, q = word(before), word(after)
+        for own, other in ((gap, gap), (0, gap), (gap, 0)):
+            a, b = np.concatenate([word(20), p, word(own), q, word(9)]), np.concatenate([word(7), p, word(other), q, word(30)])
+            second = 20 + before + own
+            got = SD.align(a, b, 0, 0, [20, 20 + before, -13, second, second + after, -13 + other - own])
+            assert all(same >= 0.8 * max(e - s, y - x) for s, e, x, y, same in got)
+            for s, e in ((20, 20 + before), (second, second + after)):
+                assert any(x[0] <= s and e <= x[1] for x in got), (before, gap, after, own, other)
+    for _ in range(300):
+        same = np.concatenate([rng.random(rng.integers(5, 60)) < rng.choice([0.1, 0.6, 0.8, 0.9, 1.0]) for _ in range(4)])
+        got = SD.runs(same)
+        assert all(e - s >= 30 and same[s:e].mean() >= 0.8 for s, e in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+        for s in range(len(same)):
+            for e in range(s + 30, len(same) + 1):
+                if same[s:e].mean() >= 0.8:
+                    assert any(x < e and s < y for x, y in got)
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------
 
 
