@@ -299,6 +299,22 @@ def test_repeated_passages(spark):
     assert SD.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_chain_after_long_stretch():
+    """A long stretch far back doesn't hide the true neighbours of later matches; against all predecessors."""
+    long = [(x, x) for x in range(0, 500, 8)]
+    later = [(700, 700), (708, 708), (716, 720), (724, 728)]
+    assert sorted(map(len, SD.chain(long + later))) == [4, len(long)]
+    own = random.Random(12)
+    for _ in range(60):
+        left = sorted({(own.randrange(400), own.randrange(400)) for _ in range(5)} | {(x + a, x + b) for a, b in ((0, 0), (own.randrange(150, 300), own.randrange(150, 300))) for x in range(0, 120, own.randint(3, 9))})
+        best = {}
+        for x, y in left:
+            before = [best[p, q] - SD.GAP_COST * (x - p + y - q) for p, q in best if 0 < x - p <= SD.MAX_GAP and 0 < y - q <= SD.MAX_GAP]
+            best[x, y] = SD.K + max([0.0, *before])
+        c = SD.chain(left)[0]
+        assert SD.K * len(c) - SD.GAP_COST * sum(q[0] - p[0] + q[1] - p[1] for p, q in zip(c, c[1:], strict=False)) == pytest.approx(max(best.values()))
+
+
 def test_neighbouring_passages():
     """Passages that stand near each other are all found, whatever is between them on either side; against brute force."""
     rng = np.random.default_rng(5)
