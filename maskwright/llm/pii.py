@@ -83,7 +83,8 @@ TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 #: Where a zone may be: at least seven digits with up to three separators between, or words for @ and dot.
 NUMBERS = re.compile(r"[0-9](?:[\s().\[\]/,_+-]{0,3}[0-9]){6,}|[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}")
 AT_DOT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+\s?(?:\(at\)|\[at\]|@|\bat\b)\s?[A-Za-z0-9.-]+(?:\s?(?:\(dot\)|\[dot\]|\bdot\b|\s\.)\s?[A-Za-z0-9-]+)*")
-WORDS_FOR_DOT = (" dot ", "(dot)", "[dot]", " @ ")
+#: Each EMAIL_SHAPE holds one of these.
+SIGNS_OF_AT = ("@", "(at)", "[at]", " dot ")
 MARGIN = 40
 CUES = {0: {"email", "mail", "e-mail", "contact", "write"}, 1: {"ip", "host", "address", "server"}, 2: {"card", "visa", "mastercard", "credit"}, 3: {"phone", "tel", "call", "mobile", "fax", "telephone"}}
 NOT_CUES = {"isbn", "version", "order", "invoice", "id", "number", "no", "ref", "page", "section", "$", "€", "£", "#"}
@@ -319,7 +320,7 @@ def trained(epochs: int = 16, rate: float = 0.5, decay: float = 1e-3) -> SemiMar
 def zones(text: str, taken: list[Span]) -> list[Zone]:
     """The parts of a text that may hold further entities, MARGIN characters wider on both sides; parts that overlap are one."""
     places = [m.span() for m in NUMBERS.finditer(text)] if DIGIT.search(text) else []
-    if any(w in text for w in WORDS_FOR_DOT):
+    if any(w in text for w in SIGNS_OF_AT):
         places += [m.span() for m in AT_DOT.finditer(text)]
     out: list[list[int]] = []
     for a, b in sorted(p for p in places if not any(s <= p[0] and p[1] <= e for s, _, e in taken)):

@@ -405,6 +405,15 @@ def test_pii_report(spark):
     assert I.pii_report(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_addresses_with_plain_full_stop():
+    """Words or white space for @ are enough: no word for the dot need stand anywhere in the text."""
+    model = I.trained()
+    for address in ("jane (at) example.com", "jane[at]example.com", "jane @example.com", "jane@ example.com", "jane.doe (at) mail.example.org"):
+        text = f"please write to {address} about this"
+        assert I.as_text(I.all_spans(text, model)[1]) == f"email:16:{16 + len(address)}", address
+    assert I.all_spans("we met at noon (at least some of us) and @ that", model)[1] == []
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------
 
 
