@@ -299,6 +299,21 @@ def test_repeated_passages(spark):
     assert SD.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_whose_pieces_occur_earlier(spark):
+    """Documents that share a whole passage are tied, though its pieces stand in different earlier documents, and in ones between them."""
+    rows = []
+    for k in range(12):
+        own, at = prose(60, 2000 + k).split(), 10_000 + 20 * k
+        cuts = [own[lo : lo + 29] for lo in (0, 16, 31)]
+        for j, piece in enumerate([*cuts, own, *cuts, own]):
+            rows.append((at + j, f"{prose(40, 3000 + 10 * k + j)} {' '.join(piece)} {prose(40, 5000 + 10 * k + j)}"))
+    got = SD.repeated_passages(frame(spark, rows)).collect()
+    for k in range(12):
+        at = 10_000 + 20 * k
+        found = [x for x in got if x.doc_id == at + 7 and x.source_doc_id == at + 3]
+        assert any(x.start <= 40 and x.end >= 100 for x in found), k
+
+
 def test_chain_after_long_stretch():
     """A long stretch far back doesn't hide the true neighbours of later matches; against all predecessors."""
     long = [(x, x) for x in range(0, 500, 8)]
