@@ -7,19 +7,24 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS, TEXTS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: The letters that "lower-case A-Z" changes; all other characters stay as they are.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if driver and
+    executors are one process (tests), and an error on a cluster, whose executors couldn't see it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="maskwright-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -34,9 +39,34 @@ def workspace(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: this cuts lineage, survives
     lost executors, and fixes rows that a second evaluation might order otherwise."""
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = workspace(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile delete their shuffle files at their end (else these stay until the driver collects garbage)."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def texts_in_batches(df: DataFrame) -> DataFrame:
+    """df, with at most TEXTS_A_BATCH rows in an Arrow batch from now on in its session: batches of texts stand in the JVM's memory
+    outside its heap and in the Python worker at once. A smaller setting of the session's own stays."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(BATCH_ROWS, "10000")) <= TEXTS_A_BATCH:
+        spark.conf.set(BATCH_ROWS, str(TEXTS_A_BATCH))
+    return df
 
 
 def removed(*tables: DataFrame) -> None:
@@ -66,7 +96,10 @@ def claim(owner: str) -> None:
 def let_go() -> None:
     """Called where an operator ends in a worker: gives freed memory back to the system. Workers live on between tasks, and an executor's memory
     is what its JVM and its workers hold together."""
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -81,6 +114,15 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns of df: these, with as many underscores before them as it takes for df to have none of them."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -380,15 +380,15 @@ def test_base_patterns():
 def test_semi_markov():
     model = I.trained()
     hit = wrong = missed = 0
-    for text, gold in I.training_text(seed=99, n=150):
+    for text, gold in I.training_text(seed=99, n=250):
         found = set(I.all_spans(text, model)[1])
         hit, wrong, missed = hit + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
-    assert hit > 0.95 * (hit + missed) and wrong < 0.05 * hit
+    assert hit > 0.9 * (hit + missed) and wrong < 0.1 * hit
     # Decoding is the best of all segmentations.
     text = "call (212) 555-0187 or x"
-    zone = I.zone_of(text, 0, len(text), [])
-    found, rows = I.candidates(zone)
-    scores = rows @ model.weights
+    zone = I.zone_of(text, 0, len(text), I.Taken([]))
+    found = list(I.candidates(zone))
+    scores = I.rows_of(zone, found) @ model.weights
     place = {x: c for c, x in enumerate(found)}
 
     def walk(at, before):
@@ -397,7 +397,7 @@ def test_semi_markov():
         best = model.moves[before, I.NONE] + walk(at + 1, I.NONE)
         for (i, j), c in place.items():
             if i == at:
-                best = max(best, max(model.moves[before, k] + scores[c, k] + walk(j, k) for k in range(4)))
+                best = max(best, max(model.moves[before, k] + scores[c, k] + walk(j, k) for k in range(len(I.KINDS))))
         return best
 
     total, at, before = 0.0, 0, I.NONE
@@ -410,6 +410,67 @@ def test_semi_markov():
     assert total == pytest.approx(walk(0, I.NONE))
 
 
+#: Written by hand, apart from the training text: sentences, and what stands in them.
+BY_HAND = [
+    ("Reach me: jane.doe (at) example dot com, thanks", ["email:jane.doe (at) example dot com"]),
+    ("my address is bob at mailhost dot org if you need it", ["email:bob at mailhost dot org"]),
+    ("we met at noon dot com bubble talk", []),
+    ("looked at it dot com style", []),
+    ("write to sales[at]acme[dot]co[dot]uk today", ["email:sales[at]acme[dot]co[dot]uk"]),
+    ("support {at} shop {dot} de", ["email:support {at} shop {dot} de"]),
+    ("anna @ posteo.de wrote", ["email:anna @ posteo.de"]),
+    ("the server 10[.]0[.]12[.]7 was down", ["ip:10[.]0[.]12[.]7"]),
+    ("blocked 192 . 168 . 4 . 21 again", ["ip:192 . 168 . 4 . 21"]),
+    ("paid with 4111.1111.1111.1111 yesterday", ["card:4111.1111.1111.1111"]),
+    ("Visa 5500/0000/0000/0004 expires soon", ["card:5500/0000/0000/0004"]),
+    ("call (212) 555-0187 after six", ["phone:(212) 555-0187"]),
+    ("her cell is 415-555-2671.", ["phone:415-555-2671"]),
+    ("tel 06 12 34 56 78 merci", ["phone:06 12 34 56 78"]),
+    ("Telefon 030 12345678 oder Mail", ["phone:030 12345678"]),
+    ("fax: 0221/4710815", ["phone:0221/4710815"]),
+    ("order 123456789012 shipped", []),
+    ("invoice no 4155552671 is due", []),
+    ("it costs $100,000,000.00 in all", []),
+    ("IBAN DE89 3704 0044 0532 0130 00 please", []),
+    ("isbn 978-3-16-148410-0 is good", []),
+    ("from 2024-03-11 10:22 to 2024-03-12", []),
+    ("commit 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12 broke it", []),
+    ('token = "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12"', ["secret:2fd4e1c67a2d28fced849ee1bb76e7391b93eb12"]),
+    ("API_KEY=AIzaSyD3x9Kq0ab12ZZt7", ["secret:AIzaSyD3x9Kq0ab12ZZt7"]),
+    ("password: hunter2hunter2hunter", ["secret:hunter2hunter2hunter"]),
+    ("version 2.14.7.1023 is out", []),
+    ("the years 1939-1945 and 1914-1918 were hard", []),
+    ("room 4111 1111 1111 on floor 3", []),
+    ("see state-of-the-art-2024 methods", []),
+]
+
+
+def test_spans_by_hand():
+    """Precision and recall of added spans are 0.9 at least on sentences that the generator didn't make."""
+    hit = wrong = missed = 0
+    for text, want in BY_HAND:
+        got = {f"{I.KINDS[k]}:{text[s:e]}" for s, k, e in I.all_spans(text, I.trained())[1]}
+        hit, wrong, missed = hit + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    assert hit >= 0.9 * (hit + missed) and wrong <= 0.1 * (hit + wrong)
+
+
+def test_weights_are_the_script_s():
+    again, kept = I.learned(), I.trained()
+    assert np.abs(again.weights - kept.weights).max() < 1e-3 and np.abs(again.moves - kept.moves).max() < 1e-3
+
+
+def test_long_texts_in_linear_time():
+    import time
+
+    model, took = I.trained(), []
+    for n in (2000, 8000):
+        text = "tel 06 12 34 56 78 and bob (at) site dot com or a@b.co; " * n + "word " * (20 * n)
+        began = time.perf_counter()
+        assert len(I.all_spans(text, model)[1]) == 3 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] and len(text) > 1_000_000
+
+
 def test_pii_report(spark):
     rows = corpus() + [(400, "🙂 a.b@c.de, 10.0.0.1 and 4111 1111 1111 1111; +1 (212) 555-0187"), (401, "mail bob (at) site dot com"), (402, "256.1.1.1 4111111111111112")]
     got = {x.doc_id: x for x in I.pii_report(frame(spark, rows)).where("doc_id >= 72").collect()}
