@@ -10,7 +10,9 @@ the other, each against all documents.
 
 Words are runs of digits, letters and all characters beyond ASCII; A-Z are lower-cased. Rows: null text has no words; null or wordless
 benchmark items have no windows; repeated documents (also under one doc_id) each give a row; a null doc_id is
-an id like others; null item_ids count as the text 'null'. Empty tables give no hits. Other columns are ignored.
+an id like others; null item_ids count as the text 'null'. Empty tables give no hits. A word in several windows is hit once, an
+item with several is listed once. Texts may be of any length: each is one row of words, whose windows are probed in place.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import fresh, lower_ascii, stored
 
 #: What a word doesn't contain: ASCII other than letters and digits. (Words are compared with A-Z lower-cased.)
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -92,8 +94,6 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
 def by_document(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """For each different document: doc_id, text_key, copies (its rows), n_words, hit_at (sorted positions of hit
     words), items (sorted as strings)."""
-    from .common import stored
-
     windows = stored(benchmark_windows(benchmark, n), "windows")
     sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = max(1, -(-sum(sizes.values()) // block))
@@ -131,18 +131,17 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, n: int = WINDO
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, largest_share: float = 0.5) -> DataFrame:
     """Removes hit words from documents, with the text between neighbouring hit words, and drops documents of
     whose words more than largest_share are hit. Returns the columns of docs; all others stay as they are."""
-    from .common import stored
-
-    found = by_document(docs, benchmark, n).where(F.size("hit_at") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "hit_at", (F.size("hit_at") > largest_share * F.col("n_words")).alias("__drop"))
+    id_, key, at, drop, own_key, lead, tail = fresh(docs, "id", "text_key", "hit_at", "drop", "key", "lead", "tail")
+    found = by_document(docs, benchmark, n).where(F.size("hit_at") > 0)
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("hit_at").alias(at), (F.size("hit_at") > largest_share * F.col("n_words")).alias(drop))
     found = stored(found, "hits")
     # Where hits are few (at most 16 MB of rows and positions) the texts stay where they are.
-    few = found.agg(F.sum(F.size("hit_at") + 10)).first()[0] or 0
+    few = found.agg(F.sum(F.size(at) + 10)).first()[0] or 0
     found = F.broadcast(found) if few <= 4_000_000 else found
-    own = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = own.join(found, own["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    own = docs.withColumn(own_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = own.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_key) == F.col(key)), "left")
     # Words and the gaps around them: gap 0, word 0, gap 1, ... A hit word goes together with the gap after it.
-    lead = F.regexp_extract("text", f"^{BETWEEN}", 0)
-    tail = F.expr("substring(text, length(__lead) + 1)")
-    kept = F.array_join(F.filter(F.transform(F.split("__tail", f"(?<={BETWEEN[:-1]})(?!{BETWEEN[:-1]})"), lambda w, i: F.when(~F.array_contains("hit_at", i), w)), lambda w: w.isNotNull()), "")
-    hit = joined.where(F.coalesce(~F.col("__drop"), F.lit(True))).withColumn("__lead", lead).withColumn("__tail", tail)
-    return hit.withColumn("text", F.when(F.col("hit_at").isNull(), F.col("text")).otherwise(F.concat("__lead", kept))).select(*docs.columns)
+    hit = joined.where(F.coalesce(~F.col(drop), F.lit(True))).withColumn(lead, F.regexp_extract("text", f"^{BETWEEN}", 0))
+    hit = hit.withColumn(tail, F.col("text").substr(F.length(lead) + 1, F.length("text")))
+    kept = F.array_join(F.filter(F.transform(F.split(tail, f"(?<={BETWEEN[:-1]})(?!{BETWEEN[:-1]})"), lambda w, i: F.when(~F.array_contains(at, i), w)), lambda w: w.isNotNull()), "")
+    return hit.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(F.concat(lead, kept))).select(*docs.columns)

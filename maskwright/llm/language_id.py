@@ -8,7 +8,7 @@ filter's false positives, and the largest decides.
 Rows: null text and text without a letter give `und` with score 0; a document of which no n-gram is known
 gives the first language with score 0; ties go to the first language in alphabetical order. With nothing
 to learn from (empty table, no language) every row gives `und`. Repeated rows and null ids each
-give a row. Other columns are ignored.
+give a row. Texts may be of any length: each is taken whole, and time is linear in it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, let_go, remainder
+from .common import claim, let_go, remainder, texts_in_batches
 
 N = 3
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -142,6 +142,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     """Learns from about sample_docs rows of each language (all, where there are fewer), picked by a hash of
     doc_id. docs: doc_id, text, lang; rows without lang or text teach nothing."""
+    texts_in_batches(docs)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -157,12 +158,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     return LanguageFilters.build({lang: found.loc[found["lang"] == lang, "gram"].to_numpy(np.uint64) for lang in sizes})
 
 
-def predict(docs: DataFrame, model: LanguageFilters, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, then lang_pred and score."""
-    spark = docs.sparkSession
+def predict(docs: DataFrame, model: LanguageFilters, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, then the predicted language and its score, called `names`."""
+    spark = texts_in_batches(docs).sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2^bits rows: bounded by 1 / LEAST_SHARE
     own = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     at_text = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def predict(docs: DataFrame, model: LanguageFilters, keep: list[str]) -> DataFra
                 for at, group in in_groups(some.column(at_text).to_pylist()):
                     lang, score = sent.value.predict(group)
                     rest = [c.slice(at, len(group)) for c in some.columns[: len(keep)]]
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
         let_go()
 
     return own.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, keeps
+from .common import claim, keeps, let_go, texts_in_batches
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -191,6 +191,8 @@ def encode_documents(docs: DataFrame, model_file: str, memo: int = MEMO) -> Data
     """One row for each row: doc_id, n_pieces, ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), and
     round_trip: decoding the ids gives the text again, character for character. memo trades a worker's memory for time."""
 
+    texts_in_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("sentence_pieces")
         codec = codec_of(model_file, memo)
@@ -211,6 +213,7 @@ def encode_documents(docs: DataFrame, model_file: str, memo: int = MEMO) -> Data
                     ],
                     names=["doc_id", "n_pieces", "ids", "ids_crc32", "round_trip"],
                 )
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean")
 
