@@ -1,9 +1,8 @@
-"""Elias-Fano sequences and an n-gram trie of them, in memory-mapped files."""
+"""Elias-Fano sequences and an n-gram trie of them, memory-mapped."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 
 import numpy as np
 
@@ -120,71 +119,120 @@ def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.nda
     return codes.astype(np.uint8), book
 
 
-class MappedTrie:
-    """Two levels of n-grams in one memory-mapped file, which close() removes.
+class Level:
+    """The children of each place of the level above: pointers (Elias-Fano) to where each one's start, and their keys, each raised by the
+    last raised key before its parent's own, so that the whole level is one monotone sequence (Elias-Fano). A child is found by
+    successor search in its parent's range, for its key relative to that base. Beside the keys may stand one-byte codes of log10
+    probabilities, and their code book."""
 
-    Level 1: context keys (Elias-Fano). Pointers (Elias-Fano): where each context's children start. Level 2: the children's
-    word keys, each raised by the last raised key of the contexts before its own, so that the whole level is one monotone
-    sequence (Elias-Fano). A child is found by successor search in its context's range, for its key relative to that base.
-    Beside level 2 stand one-byte codes of log10 probabilities."""
+    def __init__(self, pointers: EliasFano, keys: EliasFano, codes: np.ndarray, book: np.ndarray):
+        self.pointers, self.keys, self.codes, self.book = pointers, keys, codes, book
 
-    def __init__(self, contexts: np.ndarray, n_children: np.ndarray, children: np.ndarray, log_probability: np.ndarray, context_universe: int):
-        """contexts: sorted distinct keys; children: each context's sorted word keys, in the contexts' order."""
+    @classmethod
+    def build(cls, n_children: np.ndarray, children: np.ndarray, log_probability: np.ndarray | None = None) -> Level:
+        """children: each parent's keys, sorted and distinct, in the parents' order."""
         starts = np.concatenate([[0], np.cumsum(n_children)]).astype(np.int64)
-        ends = np.maximum(starts[1:] - 1, 0)
-        own_last = np.where(n_children > 0, children[ends] + 1 if len(children) else 0, 0)
-        base = np.concatenate([[0], np.cumsum(own_last)[:-1]]) if len(own_last) else np.zeros(0, np.int64)
+        own_last = np.zeros(len(n_children), np.int64)
+        some = n_children > 0
+        own_last[some] = children[starts[1:][some] - 1].astype(np.int64) + 1
+        base = np.cumsum(own_last) - own_last
         raised = children + np.repeat(base, n_children)
-        codes, book = quantised(log_probability)
-        levels = [
-            EliasFano.build(contexts, context_universe),
-            EliasFano.build(starts, int(starts[-1]) + 1),
-            EliasFano.build(raised, int(own_last.sum()) + 1 if len(own_last) else 1),
-        ]
-        arrays = [a for level in levels for a in level.arrays()] + [codes, book]
-        handle, self.path = tempfile.mkstemp(prefix="trie-")
-        os.close(handle)
-        at, self.bytes = [], 0
-        with open(self.path, "wb") as out:
-            for a in arrays:
-                raw = np.ascontiguousarray(a)
-                pad = -out.tell() % 8
-                out.write(b"\0" * pad)
-                at.append((out.tell(), raw.dtype, raw.shape))
-                out.write(raw.tobytes())
-            self.bytes = out.tell()
-        mapped = [np.memmap(self.path, t, "r", p, s) if np.prod(s) else np.zeros(s, t) for p, t, s in at]
-        self.contexts, self.pointers, self.children = (EliasFano.of(mapped[4 * k : 4 * k + 4]) for k in range(3))
-        self.codes, self.book = mapped[12], np.array(mapped[13])
-
-    def close(self) -> None:
-        os.unlink(self.path)
-
-    def find_context(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key in level 1, or -1."""
-        n = self.contexts.n
-        if not n:
-            return np.full(len(keys), -1, np.int64)
-        at = self.contexts.successor(keys, np.zeros(len(keys), np.int64), np.full(len(keys), n))
-        ok = at < n
-        ok[ok] = self.contexts.access(at[ok]) == keys[ok]
-        return np.where(ok, at, -1)
+        codes, book = quantised(log_probability) if log_probability is not None else (np.zeros(0, np.uint8), np.zeros(0))
+        return cls(EliasFano.build(starts, int(starts[-1]) + 1), EliasFano.build(raised, int(own_last.sum()) + 1), codes, book)
+
+    def range_of(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.pointers.access(parent).astype(np.int64), self.pointers.access(parent + 1).astype(np.int64)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each (place of the context, word key) plus 1; 0 if the trie doesn't have it."""
-        out = np.zeros(len(context), np.uint8)
-        for at in range(0, len(context), 1 << 19):
-            own = np.flatnonzero(context[at : at + (1 << 19)] >= 0) + at
+    def find(self, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The place of each (place of the parent, key); -1 where there is none, or the parent or the key is -1."""
+        out = np.full(len(parent), -1, np.int64)
+        for at in range(0, len(parent), 1 << 18):
+            own = np.flatnonzero((parent[at : at + (1 << 18)] >= 0) & (key[at : at + (1 << 18)] >= 0)) + at
             if not len(own):
                 continue
-            lo = self.pointers.access(context[own]).astype(np.int64)
-            hi = self.pointers.access(context[own] + 1).astype(np.int64)
+            lo, hi = self.range_of(parent[own])
             some = lo < hi
             own, lo, hi = own[some], lo[some], hi[some]
-            base = np.where(lo > 0, self.children.access(np.maximum(lo - 1, 0)) + ONE, np.uint64(0))
-            want = base + word[own].astype(np.uint64)
-            place = self.children.successor(want, lo, hi)
+            base = np.where(lo > 0, self.keys.access(np.maximum(lo - 1, 0)) + ONE, np.uint64(0)) if len(own) else np.zeros(0, np.uint64)
+            want = base + key[own].astype(np.uint64)
+            place = self.keys.successor(want, lo, hi)
             ok = place < hi
-            ok[ok] = self.children.access(place[ok]) == want[ok]
-            out[own[ok]] = self.codes[place[ok]] + 1
+            ok[ok] = self.keys.access(place[ok]) == want[ok]
+            out[own[ok]] = place[ok]
         return out
+
+    def code(self, place: np.ndarray) -> np.ndarray:
+        """The codes at places, plus 1; 0 for place -1."""
+        out = np.zeros(len(place), np.uint8)
+        out[place >= 0] = self.codes[place[place >= 0]] + 1
+        return out
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.pointers.arrays(), *self.keys.arrays(), self.codes, self.book]
+
+    @classmethod
+    def of(cls, arrays: list[np.ndarray]) -> Level:
+        return cls(EliasFano.of(arrays[:4]), EliasFano.of(arrays[4:8]), arrays[8], np.array(arrays[9]))
+
+
+class NGramTrie:
+    """N-grams u v w up to order 3, ordered by their middle word, in one memory-mapped image.
+
+    words: the keys of all v (Elias-Fano). after (a level below words): the words w that follow each v, with codes of the bigrams v w.
+    before (a level below words): the words u that precede v. tri (a level below before): the words w that follow u v, each written as its
+    number among all words that follow v (the context u v is searched relative to its shorter context v, whose followers are few),
+    with codes of the trigrams. The image can be written to a file and mapped from it."""
+
+    def __init__(self, image: np.ndarray):
+        self.image = image
+        (n,) = np.frombuffer(image[:8], np.int64)
+        head = np.frombuffer(image[8 : 8 + 24 * int(n)], np.int64).reshape(-1, 3)
+        kinds = (np.uint8, np.int64, np.float64)
+        mapped = [image[at : at + size].view(kinds[kind]) for at, size, kind in head.tolist()]
+        self.words = EliasFano.of(mapped[:4])
+        self.after, self.before, self.tri = (Level.of(mapped[4 + 10 * k : 14 + 10 * k]) for k in range(3))
+
+    @classmethod
+    def build(cls, words: np.ndarray, universe: int, after: Level, before: Level, tri: Level) -> NGramTrie:
+        arrays = [*EliasFano.build(words, universe).arrays(), *after.arrays(), *before.arrays(), *tri.arrays()]
+        raws = [np.ascontiguousarray(a) for a in arrays]
+        at, head = 8 + 24 * len(raws), []
+        for a in raws:
+            head.append((at, a.nbytes, 0 if a.dtype == np.uint8 else 1 if a.dtype == np.int64 else 2))
+            at += a.nbytes + -a.nbytes % 8
+        image = np.frombuffer(mmap.mmap(-1, at), np.uint8)  # a map of its own, without a file: nothing is left behind when a task dies
+        image[:8] = np.array([len(raws)], np.int64).view(np.uint8)
+        image[8 : 8 + 24 * len(raws)] = np.array(head, np.int64).view(np.uint8).reshape(-1)
+        for (start, size, _), a in zip(head, raws, strict=True):
+            image[start : start + size] = a.view(np.uint8).reshape(-1)
+        return cls(image)
+
+    def save(self, path: str) -> None:
+        self.image.tofile(path)
+
+    @classmethod
+    def open(cls, path: str) -> NGramTrie:
+        return cls(np.memmap(path, np.uint8, "r"))
+
+    def find_word(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in `words`, or -1."""
+        n = self.words.n
+        if not n:
+            return np.full(len(keys), -1, np.int64)
+        at = self.words.successor(keys, np.zeros(len(keys), np.int64), np.full(len(keys), n))
+        ok = at < n
+        ok[ok] = self.words.access(at[ok]) == keys[ok]
+        return np.where(ok, at, -1)
+
+    def find(self, v: np.ndarray, u: np.ndarray, pair: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes plus 1, or 0, of the bigrams v w and the trigrams u v w. v: places in `words`; u: keys of the different contexts, with
+        `pair` the number of each n-gram's context (place of v and key of u); w: keys."""
+        first = np.zeros(len(u), np.int64)
+        first[pair] = v  # the context's v
+        context = self.before.find(first, u)
+        place = self.after.find(v, w)
+        relative = place.copy()
+        for at in range(0, len(place), 1 << 18):
+            some = np.flatnonzero(place[at : at + (1 << 18)] >= 0) + at
+            relative[some] -= self.after.pointers.access(v[some]).astype(np.int64)
+        return self.after.code(place), self.tri.code(self.tri.find(context[pair], relative))

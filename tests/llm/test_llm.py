@@ -68,35 +68,71 @@ def test_elias_fano():
             assert (e.successor(x, lo, hi) == want).all()
 
 
-def test_lm_scores(spark):
-    rows = corpus()
+def test_trie(tmp_path):
+    """Every trigram is found, and nothing else; the image read from a file answers alike."""
+    own = np.random.default_rng(3)
+    grams = np.unique(own.integers(0, 30, (700, 3)), axis=0)  # v, u, w
+    n, words = 40, np.sort(own.choice(1 << 56, 40, replace=False)).astype(np.uint64)
+    followers, place = np.unique(grams[:, [0, 2]], axis=0, return_inverse=True)
+    contexts, of = np.unique(grams[:, :2], axis=0, return_inverse=True)
+    n_after = np.bincount(followers[:, 0], minlength=n)
+    p2, p3 = -own.random(len(followers)), -own.random(len(grams))
+    relative = place - (np.cumsum(n_after) - n_after)[grams[:, 0]]
+    made = EF.NGramTrie.build(words, 1 << 56, EF.Level.build(n_after, followers[:, 1], p2), EF.Level.build(np.bincount(contexts[:, 0], minlength=n), contexts[:, 1]), EF.Level.build(np.bincount(of), relative, p3))
+    made.save(str(tmp_path / "trie"))
+    held, some = {tuple(g): p for g, p in zip(grams.tolist(), p3, strict=True)}, {tuple(g): p for g, p in zip(followers.tolist(), p2, strict=True)}
+    asked = np.array([(v, u, w) for v in range(31) for u in range(31) for w in range(31)])
+    pairs, pair = np.unique(asked[:, :2], axis=0, return_inverse=True)
+    for trie in (made, EF.NGramTrie.open(str(tmp_path / "trie"))):
+        v = trie.find_word(words[asked[:, 0]])
+        assert (v == asked[:, 0]).all() and (trie.find_word(words + np.uint64(1)) == -1).all()
+        two, three = trie.find(v, pairs[:, 1], pair, asked[:, 2])
+        for (x, y, z), a, b in zip(asked.tolist(), two.tolist(), three.tolist(), strict=True):
+            assert (a > 0) == ((x, z) in some) and (b > 0) == ((x, y, z) in held)
+            assert not a or abs(trie.after.book[a - 1] - some[x, z]) < 1 / 254
+            assert not b or abs(trie.tri.book[b - 1] - held[x, y, z]) < 1 / 254
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scores(spark, small, monkeypatch):
+    """small: many blocks and fragments, and common words whose n-grams are dealt over all of them."""
+    if small:
+        for name, value in (("BLOCK", 700), ("PER_FRAGMENT", 400), ("MOST_SHARE", 60)):
+            monkeypatch.setattr(M, name, value)
+    rows = corpus() + [(500 + k, " ".join(["the", "of"] * 30 + prose(20, 900 + k).split())) for k in range(12)]
     got = M.score_documents(frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    end, tokens = b" ", [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
+    tokens = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    c, pairs, after, total = collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.Counter()
+    c, grams, after, total = collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.Counter()
     for i, w in tokens:
         if not held(i):
             c.update(w)
-            for u, v in zip([b"\n", *w], w, strict=False):
-                pairs[u, v] += 1
-                total[u] += 1
-                after[u].add(v)
+            for u, v, x in zip([b"\n", b"\n", *w], [b"\n", *w], w, strict=False):
+                for context in ((v,), (u, v)):
+                    grams[context, x] += 1
+                    total[context] += 1
+                    after[context].add(x)
     n, v_ = sum(c.values()), len(c)
     p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v_ + 1))
 
-    def q(u, w):
-        return p(w) if not total[u] else max(pairs[u, w] - 0.75, 0) / total[u] + 0.75 * len(after[u]) / total[u] * p(w)
+    def q(context, w):
+        if not context:
+            return p(w)
+        t = total[context]
+        return q(context[1:], w) if not t else max(grams[context, w] - 0.75, 0) / t + 0.75 * len(after[context]) / t * q(context[1:], w)
 
     # The model is a distribution after any context.
-    for u in (b"\n", VOCABULARY[0].encode(), b"never"):
-        assert abs(sum(q(u, w) for w in c) + q(u, b"unknown word") - 1) < 1e-9
+    for context in ((b"\n", b"\n"), (b"the", b"of"), (b"never", VOCABULARY[0].encode()), (b"never", b"seen")):
+        assert abs(sum(q(context, w) for w in c) + q(context, b"unknown word") - 1) < 1e-9
     want = sorted((str(i), held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(p(x)) for x in w), 6)) for i, w in tokens)
     assert sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
-    scores = sorted((str(i), sum(math.log10(q(u, x)) for u, x in zip([b"\n", *w], w, strict=False)) / len(w)) for i, w in tokens)
+    scores = sorted((str(i), sum(math.log10(q((u, v), x)) for u, v, x in zip([b"\n", b"\n", *w], [b"\n", *w], w, strict=False)) / len(w)) for i, w in tokens)
+    # Quantised values move by a bin's width at most; no discounted probability or count is beyond these.
+    width = (math.log10(max(total.values())) - math.log10(0.25)) / 254
     for (a, x), (b, y) in zip(scores, sorted((str(g.doc_id), g.score / g.n_tokens) for g in got), strict=True):
-        assert a == b and abs(x - y) < 0.05
-    assert end and M.score_documents(frame(spark, rows).limit(0)).count() == 0
+        assert a == b and abs(x - y) < width
+    assert M.score_documents(frame(spark, rows).limit(0)).count() == 0
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------
