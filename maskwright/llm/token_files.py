@@ -1,20 +1,21 @@
 """Token-ID files: independent zstandard frames, a trailing seek table, a checksum for each frame.
 
-A file holds, in this order:
+A file holds, in this order (the zstandard seekable format):
 
 * one zstandard frame for each document, in ascending document order: the document's ids as
   little-endian unsigned integers of `width` bytes;
 * an index frame (a skippable frame, magic 0x184D2A5D): width, document ids and a null flag for each;
-* the seek table (a skippable frame, magic 0x184D2A5E): for each document frame its compressed size,
-  decompressed size and checksum (low 32 bits of XXH64 of the content), then the number of
-  frames, a descriptor byte (0x80: with checksums) and the magic number 0x8F92EAB1.
+* the seek table (a skippable frame, magic 0x184D2A5E): for each frame before it (the index frame, which holds no
+  content, included) its compressed size, decompressed size and checksum (low 32 bits of XXH64 of the content), then the
+  number of frames, a descriptor byte (0x80: with checksums) and the magic number 0x8F92EAB1, which ends the file.
 
-Spark's text sink writes the files, so that they go to any Hadoop file system and through its commit
-protocol. Its line separator is an empty skippable frame (8 ASCII bytes), which every zstandard decoder
-skips; so the bytes between frames, and the last 8 of a file, are that frame.
+Spark's text sink writes the files, so that they go to any Hadoop file system and through its commit protocol. Each file is one
+value; the line separator that the sink puts after it is the last three bytes of the closing magic number, which are one UTF-8
+character. So the bytes of a file are those above and no others.
 
 Rows: null text is empty (only the end id). Rows that repeat a doc_id all stay, ordered by their ids'
-bytes; a null doc_id comes first. An empty table gives no file with documents. Other columns are ignored.
+bytes; a null doc_id comes first. An empty table gives no file with documents. Texts may be of any length: each is one frame.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, keeps, parts_for, workspace
+from .common import claim, keeps, let_go, parts_for, shuffles_removed, texts_in_batches, workspace
 
-SKIP_FRAME = b"P*M\x18\x00\x00\x00\x00"
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
+#: The last bytes of FOOTER_MAGIC, as a character: EA 92 8F.
+CLOSING = struct.pack("<I", FOOTER_MAGIC)[1:].decode()
+#: The low 32 bits of XXH64 of no bytes.
+NO_CONTENT = 0x51D8E999
 #: White space that str.split() splits at but that the tokenizer may not; texts with it are encoded whole.
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 #: The last of the Latin, Greek and Cyrillic letters.
@@ -147,24 +151,26 @@ def _encode_batches(path: str, end_id: int, bounds: np.ndarray):
                     ],
                     names=["shard", "doc_id", "frame", "size", "checksum", "width"],
                 )
+        let_go()
 
     return run
 
 
 def _file_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frames of one file as they come, then its index and seek table."""
-    ids, sizes, width = [], [], 2
-    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["bytes"])
+    """One row: a file's frames, its index and its seek table, without the closing characters."""
+    ids, frames, sizes, width = [], [], [], 2
     for batch in batches:
-        frames = batch.column("frame").to_pylist()
+        own = batch.column("frame").to_pylist()
+        frames += own
         ids += batch.column("doc_id").to_pylist()
-        sizes += zip(map(len, frames), batch.column("size").to_pylist(), batch.column("checksum").to_pylist(), strict=True)
-        width = batch.column("width")[0].as_py() if len(frames) else width
-        yield out(frames)
+        sizes += zip(map(len, own), batch.column("size").to_pylist(), batch.column("checksum").to_pylist(), strict=True)
+        width = batch.column("width")[0].as_py() if len(own) else width
     if ids:
         index = struct.pack("<II", width, len(ids)) + np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(i is None for i in ids)
-        table = b"".join(struct.pack("<III", *x) for x in sizes) + struct.pack("<IBI", len(ids), 0x80, FOOTER_MAGIC)
-        yield out([struct.pack("<II", INDEX_MAGIC, len(index)) + index, struct.pack("<II", SEEK_MAGIC, len(table)) + table])
+        sizes.append((len(index) + 8, 0, NO_CONTENT))
+        table = b"".join(struct.pack("<III", *x) for x in sizes) + struct.pack("<IBI", len(sizes), 0x80, FOOTER_MAGIC)
+        whole = b"".join([*frames, struct.pack("<II", INDEX_MAGIC, len(index)), index, struct.pack("<II", SEEK_MAGIC, len(table)), table])
+        yield pa.RecordBatch.from_arrays([pa.array([whole[: -len(CLOSING.encode())]], pa.binary())], names=["bytes"])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bytes_per_file: int = BYTES_PER_FILE) -> None:
@@ -172,36 +178,38 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     One shuffle moves compressed frames, never texts. The ranges come from quantiles of doc_id, whose
     number grows with the input, so a file keeps its size."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = texts_in_batches(docs.select(F.col("doc_id").cast("long"), "text"))
     n = parts_for(docs, bytes_per_file)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     bounds = np.array(sorted(set(cuts or [])), np.int64)
     frames = docs.mapInArrow(_encode_batches(tokenizer_path, end_id, bounds), "shard int, doc_id long, frame binary, size long, checksum long, width int")
     files = frames.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "size", "checksum", "frame")
     as_text = files.mapInArrow(_file_bytes, "bytes binary").select(F.col("bytes").cast("string").alias("value"))
-    as_text.write.option("lineSep", SKIP_FRAME.decode()).option("compression", "none").text(path)
+    with shuffles_removed(docs.sparkSession):
+        as_text.write.option("lineSep", CLOSING).option("compression", "none").text(path)
 
 
 class TokenFile:
-    """Reads one file's bytes (or a memory map); decompresses only the documents that are asked for."""
-
-    def __init__(self, data: bytes | memoryview):
-        self.data, self.ids, self.entries = data, [], np.zeros((0, 3), np.int64)
-        if len(data) < 17:
+    """Reads one file's bytes (or a memory map, or what `read_range` gives of a file of `size` bytes); reads and decompresses only the
+    seek table, the index and the documents that are asked for."""
+
+    def __init__(self, data: bytes | memoryview = b"", read_range: Callable[[int, int], bytes] | None = None, size: int = 0):
+        self.bytes = read_range or (lambda at, n: bytes(data[at : at + n]))
+        self.ids, self.entries = [], np.zeros((0, 3), np.int64)
+        end = size if read_range else len(data)
+        if end < 17:
             return
-        end = len(data) - len(SKIP_FRAME)
-        n, _, magic = struct.unpack_from("<IBI", data, end - 9)
+        n, _, magic = struct.unpack("<IBI", self.bytes(end - 9, 9))
         if magic != FOOTER_MAGIC:
             raise ValueError("no seek table at the end of the file")
-        at = end - 9 - 12 * n
-        self.entries = np.frombuffer(data, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.entries[:, 0] + len(SKIP_FRAME))])
-        magic, size = struct.unpack_from("<II", data, at := int(self.offsets[-1]))
+        entries = np.frombuffer(self.bytes(end - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3).astype(np.int64)
+        self.offsets = np.cumsum(entries[:, 0]) - entries[:, 0]
+        self.entries = entries[:-1]
+        index = self.bytes(int(self.offsets[-1]), int(entries[-1, 0]))
+        magic, _, self.width, n = struct.unpack_from("<IIII", index)
         if magic != INDEX_MAGIC:
             raise ValueError("no index after the last frame")
-        self.width, n = struct.unpack_from("<II", data, at + 8)
-        ids = np.frombuffer(data, "<i8", n, at + 16).tolist()
-        nulls = bytes(data[at + 16 + 8 * n : at + 16 + 9 * n])
+        ids, nulls = np.frombuffer(index, "<i8", n, 16).tolist(), index[16 + 8 * n : 16 + 9 * n]
         self.ids = [None if gone else i for i, gone in zip(ids, nulls, strict=True)]
 
     def __len__(self) -> int:
@@ -216,7 +224,7 @@ class TokenFile:
         import xxhash
 
         at, (packed, size, checksum) = int(self.offsets[k]), self.entries[k]
-        raw = press.decompress(bytes(self.data[at : at + int(packed)]), max_output_size=int(size)) if size else b""
+        raw = press.decompress(self.bytes(at, int(packed)), max_output_size=int(size)) if size else b""
         if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != checksum:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(raw, f"<u{self.width}")
@@ -263,20 +271,37 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_requested(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of the requested documents only; no other frame is decompressed."""
+    """doc_id and ids of the requested documents only: of each file its seek table and its index are read, then the frames asked for.
+    Where Arrow can't open the file system itself, files come whole through Spark; still no other frame is decompressed."""
+    from pyarrow import fs
+
     wanted = frozenset(doc_ids)
+    try:
+        fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        ranged = True
+    except (pa.ArrowInvalid, OSError):
+        ranged = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                file = TokenFile(content)
-                hits = [k for k, i in enumerate(file.ids) if i in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([file.ids[k] for k in hits], pa.int64()), pa.array([file.read(k, press).tolist() for k in hits], pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, "doc_id long, ids array<long>")
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if ranged:
+                    system, at = fs.FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                    with system.open_input_file(at) as source:
+                        hits, found = requested(TokenFile(read_range=lambda at, n, f=source: f.read_at(n, at), size=content.as_py()), press)
+                else:
+                    hits, found = requested(TokenFile(content.as_buffer()), press)
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    def requested(file: TokenFile, press) -> tuple[list[int], list[list[int]]]:
+        hits = [k for k, i in enumerate(file.ids) if i in wanted]
+        return [file.ids[k] for k in hits], [file.read(k, press).tolist() for k in hits]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select("path", "length" if ranged else "content").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def token_files_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
