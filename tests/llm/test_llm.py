@@ -138,6 +138,33 @@ def test_lm_scores(spark, small, monkeypatch):
 # --- 2 -----------------------------------------------------------------------------------------------------
 
 
+def seekable(data):
+    """An independent reader of the zstandard seekable format: every frame is where the table alone says, and the table ends the file."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    n, descriptor, magic = struct.unpack("<IBI", data[-9:])
+    assert magic == 0x8F92EAB1 and descriptor == 0x80
+    start = len(data) - 9 - 12 * n - 8
+    assert struct.unpack("<II", data[start : start + 8]) == (0x184D2A5E, 12 * n + 9)
+    at, documents = 0, 0
+    for k in range(n):
+        packed, size, checksum = struct.unpack_from("<III", data, start + 8 + 12 * k)
+        frame = data[at : at + packed]
+        if struct.unpack("<I", frame[:4])[0] == 0xFD2FB528:
+            content = zstandard.ZstdDecompressor().decompress(frame, max_output_size=size)
+            documents += 1
+        else:
+            kind, length = struct.unpack("<II", frame[:8])
+            assert kind & 0xFFFFFFF0 == 0x184D2A50 and length + 8 == packed
+            content = b""
+        assert len(content) == size and xxhash.xxh64_intdigest(content) & 0xFFFFFFFF == checksum
+        at += packed
+    assert at == start and documents == n - 1
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
@@ -159,6 +186,7 @@ def test_token_files(spark):
     some = {x.doc_id: x.ids for x in T.read_requested(spark, where, [3, 102]).collect()}
     assert some == {3: ids(rows[3][1]), 102: ids(odd[2])}
     data = max(spark.read.format("binaryFile").load(where).select("content").collect(), key=lambda x: len(x.content)).content
+    seekable(data)
     bad, whole = bytearray(data), T.TokenFile(data)
     bad[int(whole.offsets[len(whole) // 2] + whole.entries[len(whole) // 2, 0] // 2)] ^= 1
     import zstandard
@@ -352,7 +380,7 @@ def test_passages_whose_pieces_occur_earlier(spark):
 
 def test_chain_after_long_stretch():
     """A long stretch far back doesn't hide the true neighbours of later matches; against all predecessors."""
-    long = [(x, x) for x in range(0, 500, 8)]
+    long = [(x, x) for x in range(0, 500, SD.K)]
     later = [(700, 700), (708, 708), (716, 720), (724, 728)]
     assert sorted(map(len, SD.chain(long + later))) == [4, len(long)]
     own = random.Random(12)
@@ -366,6 +394,24 @@ def test_chain_after_long_stretch():
         assert SD.K * len(c) - SD.GAP_COST * sum(q[0] - p[0] + q[1] - p[1] for p, q in zip(c, c[1:], strict=False)) == pytest.approx(max(best.values()))
 
 
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_recall_of_edited_passages(spark, hot, monkeypatch):
+    """At least 0.9 of planted passages of 40 words or more are found at a similarity of 0.85, and of 30 words at 0.9; split seeds or not."""
+    monkeypatch.setattr(SD, "HOT", hot)
+    own, words, rows, planted = random.Random(20), [f"w{k}" for k in range(4000)], [], {}
+    for n, rate in ((30, 0.1), (40, 0.15), (60, 0.15), (100, 0.19)):
+        for _ in range(20):
+            first = own.choices(words, k=n)
+            edited = set(own.sample(range(n), int(rate * n)))
+            second = [f"x{own.random()}" if k in edited else w for k, w in enumerate(first)]
+            for part in (first, second):
+                rows.append((len(rows), " ".join(own.choices(words, k=40) + part + own.choices(words, k=40))))
+            planted[len(rows) - 1] = n
+    found = {x.doc_id for x in SD.repeated_passages(frame(spark, rows)).collect() if x.source_doc_id == x.doc_id - 1 and x.start < 70 and x.end > 60}
+    for n in (30, 40, 60, 100):
+        assert sum(planted[i] == n for i in found if i in planted) >= 18, n
+
+
 def test_neighbouring_passages():
     """Passages that stand near each other are all found, whatever is between them on either side; against brute force."""
     rng = np.random.default_rng(5)
