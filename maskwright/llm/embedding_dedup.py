@@ -11,8 +11,8 @@ so that a pair at the threshold is missed with a probability of at most MISS.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link with nothing.
 Vectors of different lengths don't compare. Rows that repeat a vec_id count as one vector if label and embedding are equal;
-otherwise each is compared and the id carries the sum of its links. A null vec_id links with nothing. Other
-columns are ignored.
+otherwise each is compared and the id carries the sum of its links. A null vec_id links with nothing. Labels may be of any type that
+casts to text. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def usable(rows: DataFrame) -> DataFrame:
     """vec_id, label, embedding (doubles) of the rows that can link."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), v.alias("embedding")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
+    own = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), v.alias("embedding")).where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
     return own.where(~bad & F.exists("embedding", lambda x: x != 0))
 
 
@@ -74,7 +74,7 @@ def signatures(reps: DataFrame, bits: int, tables: int) -> DataFrame:
                     signs[k] = c
             yield frame.assign(signs=signs)
 
-    return reps.mapInPandas(run, "rep long, label long, embedding array<double>, signs array<long>")
+    return reps.mapInPandas(run, "rep long, label string, embedding array<double>, signs array<long>")
 
 
 def links(reps: DataFrame, cosine: float, tables: int) -> DataFrame:
