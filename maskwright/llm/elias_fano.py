@@ -23,6 +23,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
+        self.zeros: np.ndarray | None = None  # the number of zeros before each 64 bits of high, once asked for
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -44,29 +45,35 @@ class EliasFano:
             low[at * width // 8 : at * width // 8 + len(packed)] = packed
         return cls(n, width, low, high, ones)
 
-    def _select(self, k: np.ndarray, ones: np.ndarray, flip: int) -> np.ndarray:
+    def _select(self, k: np.ndarray, ones: np.ndarray, flip: bool) -> np.ndarray:
         word = np.searchsorted(ones, k, "right") - 1
         left = k - ones[word]
-        at = word * 8
-        rows = self.high[at[:, None] + np.arange(8)] ^ np.uint8(flip)
-        before = np.cumsum(_POPCOUNT[rows], axis=1, dtype=np.int64)
-        byte = (before <= left[:, None]).sum(1)
-        own = np.take_along_axis(rows, byte[:, None], 1)[:, 0]
-        left = left - np.where(byte > 0, np.take_along_axis(before, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
-        return (at + byte) * 8 + _SELECT[own, left]
+        own = self.high.view("<u8")[word]
+        if flip:
+            own = ~own
+        at = word * 64
+        for half in (32, 16, 8):  # the half of the rest that holds the bit
+            low = np.bitwise_count(own & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= low
+            left = left - low * up
+            own = own >> (up * np.uint64(half))
+            at += up * half
+        return at + _SELECT[(own & np.uint64(0xFF)).astype(np.int64), left]
 
     def select1(self, k: np.ndarray) -> np.ndarray:
-        return self._select(k, self.ones, 0)
+        return self._select(k, self.ones, False)
 
     def select0(self, k: np.ndarray) -> np.ndarray:
-        return self._select(k, np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones, 0xFF)
+        if self.zeros is None:
+            self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        return self._select(k, self.zeros, True)
 
     def low_bits(self, k: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(k), np.uint64)
         at = k * self.width
-        rows = self.low[(at >> 3)[:, None] + np.arange(8)]
-        whole = np.ascontiguousarray(rows).view("<u8").reshape(-1)
+        # Eight bytes from each byte on: one gather over a view whose rows overlap.
+        whole = np.ndarray((len(self.low) - 7,), "<u8", self.low, 0, (1,))[at >> 3]
         return (whole >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
 
     def access(self, k: np.ndarray) -> np.ndarray:
@@ -150,10 +157,17 @@ class Level:
             own = np.flatnonzero((parent[at : at + (1 << 18)] >= 0) & (key[at : at + (1 << 18)] >= 0)) + at
             if not len(own):
                 continue
-            lo, hi = self.range_of(parent[own])
+            # Once for each run of one parent.
+            parents = parent[own]
+            runs = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
+            lo, hi = self.range_of(parents[runs])
+            base = np.zeros(len(runs), np.uint64)
+            some = np.flatnonzero((lo > 0) & (lo < hi))
+            base[some] = self.keys.access(lo[some] - 1) + ONE
+            each = np.diff(runs, append=len(own))
+            lo, hi, base = np.repeat(lo, each), np.repeat(hi, each), np.repeat(base, each)
             some = lo < hi
-            own, lo, hi = own[some], lo[some], hi[some]
-            base = np.where(lo > 0, self.keys.access(np.maximum(lo - 1, 0)) + ONE, np.uint64(0)) if len(own) else np.zeros(0, np.uint64)
+            own, lo, hi, base = own[some], lo[some], hi[some], base[some]
             want = base + key[own].astype(np.uint64)
             place = self.keys.successor(want, lo, hi)
             ok = place < hi
@@ -231,8 +245,8 @@ class NGramTrie:
         first[pair] = v  # the context's v
         context = self.before.find(first, u)
         place = self.after.find(v, w)
+        some = np.flatnonzero(place >= 0)
+        runs = np.flatnonzero(np.concatenate([[True], v[some][1:] != v[some][:-1]])) if len(some) else some
         relative = place.copy()
-        for at in range(0, len(place), 1 << 18):
-            some = np.flatnonzero(place[at : at + (1 << 18)] >= 0) + at
-            relative[some] -= self.after.pointers.access(v[some]).astype(np.int64)
+        relative[some] -= np.repeat(self.after.pointers.access(v[some][runs]).astype(np.int64), np.diff(runs, append=len(some)))
         return self.after.code(place), self.tri.code(self.tri.find(context[pair], relative))

@@ -6,7 +6,7 @@ number of different words seen after a context, c(context) the number of words s
 (c(w) + 0.1) / (N + 0.1 (V + 1)); after an unseen context it is the next shorter one's. Before a text's first word stand two start signs.
 It sums to 1 over the V known tokens and one unknown token.
 
-1. Blocks of documents become token streams over the block's own vocabulary (word hashes of 56 bits); written once.
+1. Blocks of documents become token streams over the block's own vocabulary (word hashes of 48 bits); written once.
 2. Each block sends its different trigrams u v w, with their training counts, to fragments by the hash of v: so a fragment has all that
    the scores after v need. Very common words v are dealt further: their trigrams by u and v (or, where u is common too, by all three),
    and their bigrams v w once more on their own, by v and w.
@@ -44,8 +44,10 @@ DISCOUNT, ADDED = 0.75, 0.1
 BLOCK, PER_FRAGMENT, BYTES_A_TOKEN = 1_000_000, 1_000_000, 4
 #: A word with this part of all tokens or more, in a block, is reported; with half of it in all, its n-grams are dealt over all fragments.
 MOST_SHARE = 512
-START, END = np.uint64(0x5BD1E9955BD1E9), np.uint64(0xA24BAED4963EE4)
-WORD_BITS = 56  # of a word's hash
+#: N-grams travel in so many rounds, each with its own part of the fragments: less disk for shuffles, more time to read blocks.
+ROUNDS = 2
+START, END = np.uint64(0x5BD1E9955BD1), np.uint64(0xA24BAED4963E)
+WORD_BITS = 48  # of a word's hash
 
 
 def joined(*bodies: bytes) -> bytes:
@@ -67,7 +69,7 @@ def _blocks(mod: int):
         trained = np.repeat(~out, n)
         counts = np.bincount(tokens[trained], minlength=len(words))
         known = [i is not None for i in ids]
-        body = joined(pack(np.array([(i or 0) for i in ids], np.int64).view(np.uint64)), np.packbits(known).tobytes(), np.packbits(out).tobytes(), pack(n), pack(tokens), hashes.tobytes(), pack(counts))
+        body = joined(pack(np.array([(i or 0) for i in ids], np.int64).view(np.uint64)), np.packbits(known).tobytes(), np.packbits(out).tobytes(), pack(n), pack(tokens), pack(hashes), pack(counts))
         top = np.flatnonzero(counts >= max(100, counts.sum() // MOST_SHARE)) if len(words) else np.zeros(0, np.int64)
         m = len(top)
         yield pa.RecordBatch.from_arrays(
@@ -117,7 +119,7 @@ class Block:
         self.known = np.unpackbits(np.frombuffer(known, np.uint8), count=n).astype(bool)
         self.held = np.unpackbits(np.frombuffer(held, np.uint8), count=n).astype(bool)
         self.sizes = sizes + 1
-        every = np.concatenate([np.frombuffer(hashes, np.uint64), np.array([START, END])])
+        every = np.concatenate([unpack(hashes), np.array([START, END])])
         self.hashes, rank = np.unique(every, return_inverse=True)
         rank = rank.astype(np.int32)
         m = len(every) - 2
@@ -192,13 +194,15 @@ def groups(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _requests(hot: np.ndarray, fragments: int):
+def _requests(hot: np.ndarray, fragments: int, offset: int):
+    """Of the fragments `offset`, `offset` + ROUNDS, and so on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lm_score")
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(payload.as_py(), hot, fragments)
-                for f in range(fragments):
+                for f in range(offset, fragments, ROUNDS):
                     for kind in (2, 3):
                         some, columns = block.asked(f, kind)
                         if some.start == some.stop:
@@ -272,30 +276,42 @@ def _answers(hot: dict[int, int]):
             live = np.flatnonzero(n_after)
             more, new = stats(words[live], None, np.bincount(v, count, n_words)[live], n_after[live]), 0
         else:
-            contexts = np.unique(np.concatenate([((c[0].astype(np.int64) << bits) | c[1])[groups(c[0], c[1])] for c in columns]))
+            contexts = np.concatenate([((c[0].astype(np.int64) << bits) | c[1])[groups(c[0], c[1])] for c in columns])
+            contexts.sort()
+            contexts = contexts[groups(contexts)]
             pairs = []
             for c in columns:  # each block's different contexts, and which of them each n-gram has
                 starts = groups(c[0], c[1])
                 own = np.searchsorted(contexts, (c[0][starts].astype(np.int64) << bits) | c[1][starts])
                 pairs.append((own, np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(c[0])))))
-            key, count = summed(np.concatenate([(p[k][n > 0] << bits) | c[2][n > 0] for (p, k), c, n in zip(pairs, columns, counts, strict=True)]), np.concatenate([n[n > 0] for n in counts]))
-            of, w = key >> bits, key & ((1 << bits) - 1)
+            # The blocks' different trigrams, and which of them each of theirs is; those with a count are the model's.
+            asked, place = np.unique(np.concatenate([(p[k] << bits) | c[2] for (p, k), c in zip(pairs, columns, strict=True)]), return_inverse=True)
+            place = place.astype(np.int32)
+            count = np.bincount(place, np.concatenate(counts), len(asked))
+            of, w = (asked[count > 0] >> bits), asked[count > 0] & ((1 << bits) - 1)
+            of_asked, w_asked, count = asked >> bits, asked & ((1 << bits) - 1), count[count > 0]
+            del asked, counts
             of_v = contexts >> bits
             total, n_after = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts))
-            two, place = np.unique((of_v[of] << bits) | w, return_inverse=True)
-            count2 = np.bincount(place, count, len(two))
+            two, follower = np.unique((of_v[of] << bits) | w, return_inverse=True)
+            count2 = np.bincount(follower, count, len(two))
             v2 = two >> bits
             total2, n_after2 = np.bincount(v2, count2, n_words), np.bincount(v2, minlength=n_words)
             # Bigrams of common words are counted apart; here they only number the followers.
             after = Level.build(n_after2, two & ((1 << bits) - 1), discounted(np.maximum(count2, 1), total2[v2]))
             before = Level.build(np.bincount(of_v, minlength=n_words), contexts & ((1 << bits) - 1))
             whole_pair = np.where(common[of_v] & common[contexts & ((1 << bits) - 1)], 1.0, total)
-            relative = place - (np.cumsum(n_after2) - n_after2)[of_v[of]]
+            relative = follower - (np.cumsum(n_after2) - n_after2)[of_v[of]]
             tri = Level.build(n_after, relative, discounted(count, whole_pair[of]))
             trie = NGramTrie.build(words, 1 << WORD_BITS, after, before, tri)
-            del key, count, of, w, two, place, count2, v2, relative, after, before, tri
-            for c, (own, k) in zip(columns, pairs, strict=True):
-                code2, code3 = trie.find(c[0].astype(np.int64), contexts[own] & ((1 << bits) - 1), k, c[2])
+            del count, of, w, two, follower, count2, v2, relative, after, before, tri
+            codes2, codes3 = trie.find(of_v[of_asked], contexts & ((1 << bits) - 1), of_asked, w_asked)
+            del of_asked, w_asked
+            at = 0
+            for c, (own, _) in zip(columns, pairs, strict=True):
+                mine = place[at : at + len(c[0])]
+                at += len(c[0])
+                code2, code3 = codes2[mine], codes3[mine]
                 starts = groups(c[0])
                 v = c[0][starts]
                 out.append(
@@ -415,15 +431,18 @@ def score_documents(docs: DataFrame, mod: int = 10) -> DataFrame:
         for batch in batches:
             for payload in batch.column(0):
                 body = parts(payload.as_py())
-                hashes, counts = np.frombuffer(body[5], np.uint64), unpack(body[6]).astype(np.int64)
+                hashes, counts = unpack(body[5]), unpack(body[6]).astype(np.int64)
                 own = np.isin(hashes, chosen)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), pa.array(counts[own])], names=["context", "n"])
 
     exact = streams.select("payload").mapInArrow(hot_totals, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).collect()
     hot = {r["context"]: r["n"] for r in exact} | {int(START): n_docs}
-    requests = streams.mapInArrow(_requests(np.array(sorted(hot), np.uint64), fragments), "block long, fragment int, payload binary")
     schema = "block long, fragment int, answer binary, n_new long, v long, u long, total long, n_after long"
-    answers = stored(requests.groupBy("fragment").applyInPandas(_answers(hot), schema), "answers")
+    answers = None
+    for k in range(ROUNDS):
+        requests = streams.mapInArrow(_requests(np.array(sorted(hot), np.uint64), fragments, k), "block long, fragment int, payload binary")
+        some = stored(requests.groupBy("fragment").applyInPandas(_answers(hot), schema), "answers")
+        answers = some if answers is None else answers.unionByName(some)
     n_words = (answers.agg(F.sum("n_new")).first()[0] or 0) + sum(n > 0 for h, n in hot.items() if h != int(START)) + (n_docs > 0)
     found = answers.where("block IS NULL").groupBy("v", "u").agg(F.sum("total").alias("total"), F.sum("n_after").alias("n_after")).toPandas()
     contexts = tuple(found[c].to_numpy(np.int64) for c in ("v", "u", "total", "n_after"))
