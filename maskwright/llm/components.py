@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,13 +15,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     O(log^2 n) rounds in practice. Each step takes a minimum for each node, which Spark combines before the shuffle, and a
     join that AQE can split where a node has very many links; no task gathers a node's neighbours. Each round is
     written to the shared folder, so lost executors cost one round at most."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    nodes = stored(edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct(), "nodes")
+    links = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = links
     state = None
     for _ in range(rounds):
         large = _star(edges, larger_only=True)
         small = stored(_star(large, larger_only=False), "edges")
         now = small.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if edges is not links:
+            removed(edges)
         edges = small
         if (now.n, now.h) == state:
             break
@@ -30,7 +32,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     # Settled: every edge goes from a node to its component's smallest.
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:

@@ -15,7 +15,8 @@
 
 Exact up to collisions of 64-bit hashes. Rows: null and wordless texts have empty sets and link with nothing; repeated
 rows each give a row; rows of one doc_id are one node of the components; a null doc_id links with nothing and has no
-component. An empty table gives no rows. Other columns are ignored.
+component. An empty table gives no rows. Texts may be of any length: a set is never cut, and a block holds one long text at least.
+Ties in the n-gram order go by hash; no result depends on them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, input_bytes, let_go, removed, stored
+from .common import claim, fresh, input_bytes, let_go, removed, stored, texts_in_batches
 from .components import components
 from .shingles import pack, pack_sorted, shingle_set, unpack, unpack_sorted, word_hashes
 
@@ -212,7 +213,7 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
         both = F.col(na) + F.col(nb)
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (2 * percent * both <= (100 + percent) * (both - apart))
 
-    found = tested = None
+    found, tested, done = None, None, []
     comp = sizes.select("rep", F.col("rep").alias("component"))
     for r in range(ROUNDS):
         tied = lists.select("gram", "rep").join(comp, "rep")
@@ -222,16 +223,15 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         info = sizes.join(own_bits, "rep")
         pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a").join(info.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
-        pairs = stored(pairs.where(close("na", "nb", "xa", "xb")).select("a", "b"), "pairs")
+        done.append(pairs := stored(pairs.where(close("na", "nb", "xa", "xb")).select("a", "b"), "pairs"))
         new = stored(similar_pairs(pairs, segments, sizes, percent), "links")
         found = new if found is None else found.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        comp = components(found).select(F.col("node").alias("rep"), "component")
-        comp = stored(sizes.select("rep").join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "components")
+        comp = stored(_merged(comp, new), "tied")
     tied = lists.select("gram", "at", "rep", "n").join(comp, "rep")
     largest = _largest(tied, ROUNDS)
     mixed = largest.where("m < total").select("gram", "most")
-    tied = stored(tied.join(mixed, "gram"), "tied")
+    tied = tied.join(mixed, "gram")
     heads = tied.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("h")).select("rep", F.transform("h", lambda x: x["gram"]).alias("head"))
     tied = stored(tied.join(heads, "rep").join(own_bits, "rep"), "tied")
     x = tied.where("component <> most").select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("head").alias("ha"), F.col("bits").alias("xa"))
@@ -242,7 +242,20 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
     rest = x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     new = stored(similar_pairs(rest, segments, sizes, percent), "links")
-    return found.unionByName(new)
+    removed(own, lists, segments, tied, rest, comp, *done)
+    return stored(found.unionByName(new), "links")
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (rep, component) after the components that `links` join have merged, as far as the smallest within two links goes. What
+    remains apart only costs comparisons; components() closes over all links at the end."""
+    a, b = comp.select(F.col("rep").alias("a"), F.col("component").alias("x")), comp.select(F.col("rep").alias("b"), F.col("component").alias("y"))
+    ties = links.join(a, "a").join(b, "b").where("x <> y").select("x", "y")
+    ties = ties.unionByName(ties.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    one = ties.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("m"))
+    two = ties.join(one.select(F.col("x").alias("y"), "m"), "y").groupBy("x").agg(F.min("m").alias("m2"))
+    moved = one.join(two, "x").select(F.col("x").alias("component"), F.least("m", "m2").alias("to"))
+    return comp.join(moved, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
 
 
 def _largest(tied: DataFrame, r: int) -> DataFrame:
@@ -258,6 +271,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     expected = max(1 << 16, input_bytes(docs) // BYTES_A_SHINGLE)
     bits, fragments = min(64, math.ceil(math.log2(expected)) + 7), max(2, math.ceil(expected / PER_FRAGMENT))
+    texts_in_batches(docs)
     blocks = stored(docs.mapInArrow(_blocks(width, bits, fragments), BLOCK_SCHEMA), "blocks")
     asked = blocks.where("kind = 2").select("block", "fragment", "payload")
     answers = asked.groupBy("fragment").applyInPandas(_shared, "block long, fragment int, answer binary")
@@ -283,6 +297,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest (or null); of rows that repeat a doc_id all stay."""
-    gone = stored(jaccard_components(docs, percent).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows and columns of docs, whatever their names, whose doc_id is its component's smallest (or null); of rows that repeat a doc_id
+    all stay, and so do null and empty texts. An empty table gives none."""
+    (name,) = fresh(docs, "gone")
+    gone = stored(jaccard_components(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*docs.columns)
