@@ -17,17 +17,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     written to the shared folder, so lost executors cost one round at most."""
     links = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     edges = links
-    state = None
     for _ in range(rounds):
         large = _star(edges, larger_only=True)
         small = stored(_star(large, larger_only=False), "edges")
-        now = small.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if edges is not links:
             removed(edges)
         edges = small
-        if (now.n, now.h) == state:
+        if _settled(edges):
             break
-        state = (now.n, now.h)
     else:
         raise RuntimeError("components did not settle")
     # Settled: every edge goes from a node to its component's smallest.
@@ -35,6 +32,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every u has one edge, and no v is a u: each v is then the smallest of its component, and its edges reach all of it."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("low")))
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 OR n = 1 AND low = 1").isEmpty()
+
+
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     """edges: u > v. Large star: links each larger neighbour of a node to the smallest of the node and its neighbours.
     Small star: links the node and its smaller neighbours to the smallest of them."""
