@@ -2,9 +2,10 @@
 
 Vectors of one label that are equal become one representative with a count. Each representative gets, in each of
 several tables, the signs of its products with random hyperplanes; those that share label, table and signs form a bucket.
-Within a bucket all pairs are compared by cosine in double precision; a pair is reported by the first table in which it
-meets, so no pair comes twice and no shuffle of pairs is needed. Buckets of more than BLOCK vectors are dealt as pairs
-of blocks over many tasks.
+Within a bucket all pairs are compared by cosine in double precision; a pair counts in the first table in which it
+meets, so no pair counts twice and no shuffle of pairs is needed. A bucket answers with how many vectors each of its own links to and
+with a spanning forest of its links, never with the links: rows grow with the bucket, not with its square. Buckets of more than BLOCK
+vectors are dealt as pairs of blocks over many tasks.
 
 The number of hyperplanes grows with the logarithm of the largest label's size and the number of tables with it,
 so that a pair at the threshold is missed with a probability of at most MISS.
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
 from .components import components
 
 LEAST_COSINE, MISS, BLOCK, SEED = 0.93, 1e-4, 1000, 20
@@ -59,7 +60,7 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def signatures(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """reps (rep, label, embedding) with `signs`: an array of one long for each table."""
+    """reps (rep, label, embedding, copies) with `signs`: an array of one long for each table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = 1 << np.arange(bits, dtype=np.int64)
@@ -74,13 +75,15 @@ def signatures(reps: DataFrame, bits: int, tables: int) -> DataFrame:
                     signs[k] = c
             yield frame.assign(signs=signs)
 
-    return reps.mapInPandas(run, "rep long, label string, embedding array<double>, signs array<long>")
+    return reps.mapInPandas(run, "rep long, label string, embedding array<double>, copies long, signs array<long>")
 
 
 def links(reps: DataFrame, cosine: float, tables: int) -> DataFrame:
-    """a, b (a < b): representatives of one label that some table brings together, with cosine >= `cosine`."""
+    """reps: rep, label, embedding, copies, signs. What the pairs of one label tell that some table brings together, with cosine >= `cosine`:
+    rows a, n (b null), whose sum over a is the number of copies that a links to, and rows a, b (n null), which join the same representatives
+    as the pairs do."""
     size = F.size("embedding")
-    rows = reps.select("rep", "label", "embedding", "signs", size.alias("length"), F.posexplode("signs").alias("t", "code"))
+    rows = reps.select("rep", "label", "embedding", "copies", "signs", size.alias("length"), F.posexplode("signs").alias("t", "code"))
     key = ["label", "length", "t", "code"]
     full = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -88,14 +91,14 @@ def links(reps: DataFrame, cosine: float, tables: int) -> DataFrame:
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A row of block i goes to the tasks (i, j) and (j, i) of its bucket; in a small bucket to (0, 0) only.
     pairs = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select(*key, "rep", "embedding", "signs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    pairs = pairs.select(*key, "rep", "embedding", "copies", "signs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         t, i, j = int(frame["t"].iloc[0]), int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         v, rep, own = _unit(frame["embedding"]), frame["rep"].to_numpy(np.int64), frame["own"].to_numpy()
-        signs = np.array(frame["signs"].tolist(), np.int64)
+        signs, copies = np.array(frame["signs"].tolist(), np.int64), frame["copies"].to_numpy(np.int64)
         left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        out = []
+        n, tree = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for at in range(0, len(left), 512):
             rows_ = left[at : at + 512]
             x, y = np.nonzero(v[rows_] @ v[right].T >= cosine - 1e-9)
@@ -107,32 +110,52 @@ def links(reps: DataFrame, cosine: float, tables: int) -> DataFrame:
                 ok = np.einsum("ij,ij->i", v[p], v[q]) >= cosine
                 if t:
                     ok &= ~(signs[p, :t] == signs[q, :t]).any(axis=1)
-                out.append(np.stack([np.minimum(rep[p], rep[q])[ok], np.maximum(rep[p], rep[q])[ok]], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return pairs.groupBy(*key, "i", "j").applyInPandas(compare, "a long, b long")
+                p, q = p[ok], q[ok]
+                np.add.at(n, p, copies[q])
+                np.add.at(n, q, copies[p])
+                tree = _joined(tree, p, q)
+        some, tied = np.flatnonzero(n), np.flatnonzero(tree != np.arange(len(tree)))
+        none = [None]
+        return pd.DataFrame({
+            "a": np.concatenate([rep[some], rep[tied]]),
+            "b": pd.array([*none * len(some), *rep[tree[tied]].tolist()], "Int64"),
+            "n": pd.array([*n[some].tolist(), *none * len(tied)], "Int64"),
+        })
+
+    return pairs.groupBy(*key, "i", "j").applyInPandas(compare, "a long, b long, n long")
+
+
+def _joined(tree: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """tree: the least node of each node's component. The same after the links p, q."""
+    while True:
+        x, y = tree[p], tree[q]
+        apart = x != y
+        if not apart.any():
+            return tree
+        tree = tree.copy()
+        np.minimum.at(tree, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := tree[tree], tree):
+            tree = up
 
 
 def near_duplicates(rows: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     """One row for each row of the table: vec_id, n_links, component_id, kept."""
     good = stored(usable(rows).distinct().withColumn("key", F.xxhash64("label", "embedding")), "vectors")
-    classes = stored(good.groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = good.groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # One id may stand in several classes (it repeats with different vectors), so classes have their own numbers.
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = plan(largest, cosine)
-    signed = stored(signatures(classes.select(F.col("c").alias("rep"), "label", "embedding"), bits, tables), "signatures")
+    signed = stored(signatures(classes.select(F.col("c").alias("rep"), "label", "embedding", "copies"), bits, tables), "signatures")
     found = stored(links(signed, cosine, tables), "links")
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("c").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("n"))
+    linked = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     info = classes.select("key", "label", "embedding", "c", "rep", "copies").join(linked, F.col("c") == F.col("a"), "left")
     info = info.select("key", "label", "embedding", "rep", "c", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     member = stored(good.join(info, ["key", "label", "embedding"]).select("vec_id", "rep", "c", "n"), "members")
+    removed(signed)
     # Components of ids: a class ties its members to its smallest id, a link ties two classes.
     reps = classes.select("c", "rep")
-    class_links = found.join(reps.select(F.col("c").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("c").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    class_links = found.where("b IS NOT NULL").join(reps.select(F.col("c").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("c").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     own = member.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     comp = components(class_links.unionByName(own))
     per_id = member.groupBy("vec_id").agg(F.sum("n").cast("long").alias("n_links"))
