@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,8 @@ def usable(rows: DataFrame) -> DataFrame:
     return own.where(~bad & F.exists("embedding", lambda x: x != 0))
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    v = np.array(column.tolist(), np.float64)
-    v /= np.abs(v).max(axis=1, keepdims=True)
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -69,7 +69,7 @@ def signatures(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             lengths = frame["embedding"].map(len)
             for n in lengths.unique():
                 at = np.flatnonzero(lengths == n)
-                side = (_unit(frame["embedding"].iloc[at]) @ hyperplanes(int(n), bits * tables)) > 0
+                side = (_unit(np.array(frame["embedding"].iloc[at].tolist(), np.float64)) @ hyperplanes(int(n), bits * tables)) > 0
                 codes = side.reshape(len(at), tables, bits) @ powers
                 for k, c in zip(at, codes, strict=True):
                     signs[k] = c
@@ -83,46 +83,96 @@ def links(reps: DataFrame, cosine: float, tables: int) -> DataFrame:
     rows a, n (b null), whose sum over a is the number of copies that a links to, and rows a, b (n null), which join the same representatives
     as the pairs do."""
     size = F.size("embedding")
-    rows = reps.select("rep", "label", "embedding", "copies", "signs", size.alias("length"), F.posexplode("signs").alias("t", "code"))
     key = ["label", "length", "t", "code"]
-    full = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.join(full.select(*key, blocks.alias("blocks")), key)
+    codes = reps.select("label", size.alias("length"), F.posexplode("signs").alias("t", "code"))
+    big = stored(codes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "big")
+    rows = reps.select("rep", "label", "embedding", "copies", "signs", size.alias("length"), F.posexplode("signs").alias("t", "code"))
+    dealt = rows.join(big, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A row of block i goes to the tasks (i, j) and (j, i) of its bucket; in a small bucket to (0, 0) only.
     pairs = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select(*key, "rep", "embedding", "copies", "signs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = int(frame["t"].iloc[0]), int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        v, rep, own = _unit(frame["embedding"]), frame["rep"].to_numpy(np.int64), frame["own"].to_numpy()
-        signs, copies = np.array(frame["signs"].tolist(), np.int64), frame["copies"].to_numpy(np.int64)
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        n, tree = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for at in range(0, len(left), 512):
-            rows_ = left[at : at + 512]
-            x, y = np.nonzero(v[rows_] @ v[right].T >= cosine - 1e-9)
-            x, y = rows_[x], right[y]
-            once = rep[x] != rep[y] if i != j else rep[x] < rep[y]
-            x, y = x[once], y[once]
-            for k in range(0, len(x), 20_000):
-                p, q = x[k : k + 20_000], y[k : k + 20_000]
-                ok = np.einsum("ij,ij->i", v[p], v[q]) >= cosine
-                if t:
-                    ok &= ~(signs[p, :t] == signs[q, :t]).any(axis=1)
-                p, q = p[ok], q[ok]
-                np.add.at(n, p, copies[q])
-                np.add.at(n, q, copies[p])
-                tree = _joined(tree, p, q)
-        some, tied = np.flatnonzero(n), np.flatnonzero(tree != np.arange(len(tree)))
-        none = [None]
-        return pd.DataFrame({
-            "a": np.concatenate([rep[some], rep[tied]]),
-            "b": pd.array([*none * len(some), *rep[tree[tied]].tolist()], "Int64"),
-            "n": pd.array([*n[some].tolist(), *none * len(tied)], "Int64"),
-        })
-
-    return pairs.groupBy(*key, "i", "j").applyInPandas(compare, "a long, b long, n long")
+    # Buckets are small and many: a task sorts its own and cuts them in the stream, which costs far less than a call for each.
+    together = pairs.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    return together.mapInArrow(_compared(cosine), "a long, b long, n long")
+
+
+def _compared(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows]).combine_chunks()
+            if not len(rows):
+                continue
+            starts = _starts(rows)
+            left = rows.slice(starts[-1])
+            yield _of_buckets(rows, starts, cosine)
+        if left is not None and len(left):
+            left = left.combine_chunks()
+            yield _of_buckets(left, np.array([0, len(left)]), cosine)
+
+    return run
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a block's rows begin."""
+    labels = rows["label"].combine_chunks()
+    label = labels.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    new = label[1:] != label[:-1]
+    for name in ("length", "t", "code", "i", "j"):
+        x = rows[name].to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _lists(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's values begin, and the values of all rows."""
+    column = rows[name].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], column.flatten().to_numpy()
+
+
+def _of_buckets(rows: pa.Table, starts: np.ndarray, cosine: float) -> pa.RecordBatch:
+    """The answers of the blocks that begin at all of starts but the last, which ends the one before it."""
+    rep, copies, own, t, i, j = (rows[name].to_numpy() for name in ("rep", "copies", "own", "t", "i", "j"))
+    (v_at, vectors), (s_at, signs) = _lists(rows, "embedding"), _lists(rows, "signs")
+    out = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            v, sign = vectors[v_at[lo] : v_at[hi]].reshape(hi - lo, -1), signs[s_at[lo] : s_at[hi]].reshape(hi - lo, -1)
+            n, tree = _of_bucket(rep[lo:hi], copies[lo:hi], own[lo:hi], _unit(v), sign[:, : t[lo]], int(i[lo]), int(j[lo]), cosine)
+            some, tied = np.flatnonzero(n), np.flatnonzero(tree != np.arange(hi - lo))
+            if len(some):
+                out[0].append(np.stack([rep[lo + some], n[some]]))
+                out[1].append(np.stack([rep[lo + tied], rep[lo + tree[tied]]]))
+    counts, ties = (np.concatenate(x, 1) for x in out)
+    none = lambda x: pa.nulls(x.shape[1], pa.int64())
+    b, n = pa.concat_arrays([none(counts), pa.array(ties[1])]), pa.concat_arrays([pa.array(counts[1]), none(ties)])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([counts[0], ties[0]])), b, n], names=["a", "b", "n"])
+
+
+def _of_bucket(rep: np.ndarray, copies: np.ndarray, own: np.ndarray, v: np.ndarray, before: np.ndarray, i: int, j: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the pairs of blocks i and j: how many copies each row links to, and the least row of its component. before: signs of the earlier tables."""
+    left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
+    n, tree = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for at in range(0, len(left), 512):
+        rows = left[at : at + 512]
+        x, y = np.nonzero(v[rows] @ v[right].T >= cosine - 1e-9)
+        x, y = rows[x], right[y]
+        once = rep[x] != rep[y] if i != j else rep[x] < rep[y]
+        x, y = x[once], y[once]
+        for k in range(0, len(x), 20_000):
+            p, q = x[k : k + 20_000], y[k : k + 20_000]
+            ok = np.einsum("ij,ij->i", v[p], v[q]) >= cosine
+            if before.shape[1]:
+                ok &= ~(before[p] == before[q]).any(axis=1)
+            p, q = p[ok], q[ok]
+            np.add.at(n, p, copies[q])
+            np.add.at(n, q, copies[p])
+            tree = _joined(tree, p, q)
+    return n, tree
 
 
 def _joined(tree: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
