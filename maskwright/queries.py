@@ -61,7 +61,12 @@ def card_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_spans(spark, sf_dir, "CREDIT_CARD")
 
 
-@query()
+# RE2 has no lookaround: of each run of characters that may not stand before an address, the address that begins it.
+RUN_SQL = r"[\p{L}\p{M}\p{Nd}\p{Pc}.:]+"
+IP_SQL = r"^((?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}|(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4})(?:$|\.$|\.[^\p{Nd}])"
+
+
+@query(SPANS_SQL.format(p=RUN_SQL) + f"""SELECT doc_id, b AS "start", CAST(b + length(regexp_extract(v, '{IP_SQL}', 1)) AS INTEGER) AS "end", 'IP_ADDRESS' AS label, regexp_extract(v, '{IP_SQL}', 1) AS "text" FROM s WHERE regexp_matches(v, '{IP_SQL}')""")
 def ip_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_spans(spark, sf_dir, "IP_ADDRESS")
 
@@ -127,7 +132,16 @@ def unknown_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(X.unknown_placeholders(F.col("masked"), F.create_map().cast("map<string,string>"))).alias("unknown")).join(F.broadcast(known), "unknown", "left_anti").select("doc_id", "unknown")
 
 
-@query()
+# Words of digits with single separators between, as long as they go; those of ten digits count.
+RESIDUAL_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_replace("text", '{P.PLACEHOLDER_ANY}', '    ', 'g') AS t FROM documents WHERE "text" IS NOT NULL),
+v AS (SELECT doc_id, 'DIGITS' AS kind, unnest(regexp_extract_all(t, '\b\d+(?:[ \t.\-]\d+)*\b')) AS "value" FROM t
+  UNION ALL SELECT doc_id, 'EMAIL', trim(unnest(regexp_extract_all(t, '{P.EMAIL_LIKE}'))) FROM t)
+SELECT DISTINCT doc_id, kind, "value" FROM v WHERE kind = 'EMAIL' OR length(regexp_replace("value", '[^0-9]', '', 'g')) >= 10
+"""
+
+
+@query(RESIDUAL_SQL)
 def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", F.explode(X.residual(F.col("text"))).alias("r")).select("doc_id", "r.kind", "r.value")
@@ -159,7 +173,20 @@ def conversations_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_documents(texts, PipelineConfig(), "conv_id").select("conv_id", "masked", F.size("mapping").alias("n_entities"))
 
 
-@query()
+# Line by line: a part ends before the line that would take it over the limit.
+CHUNK_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce("text", '') AS t, string_split(coalesce("text", ''), chr(10)) AS ls FROM documents),
+w AS (SELECT id, 0 AS i, 0 AS p, 0 AS b, 0 AS size FROM d
+  UNION ALL
+  SELECT w.id, w.i + 1, w.p + length(ls[w.i + 1]) + 1, CASE WHEN w.p > w.b AND w.size + length(ls[w.i + 1]) > 3000 THEN w.p ELSE w.b END,
+    CASE WHEN w.p > w.b AND w.size + length(ls[w.i + 1]) > 3000 THEN 0 ELSE w.size END + length(ls[w.i + 1]) + 1 FROM w JOIN d ON w.id = d.id WHERE w.i < len(ls)),
+c AS (SELECT id, b, max(p) - b - 1 AS n FROM w WHERE i > 0 GROUP BY id, b)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS INTEGER) AS k, CAST(b AS INTEGER) AS "at", CAST(n AS INTEGER) AS "size"
+FROM c JOIN d USING (id) WHERE regexp_matches(substring(t, b + 1, n), '[^\\s]')
+"""
+
+
+@query(CHUNK_SQL)
 def chunk_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("array<struct<at:int,size:int>>")
     def cut(texts: pd.Series) -> pd.Series:
