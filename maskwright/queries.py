@@ -71,7 +71,14 @@ def ip_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_spans(spark, sf_dir, "IP_ADDRESS")
 
 
-@query()
+# The character before a number is matched with it, then taken off; only the text's first match may have none.
+PHONE_SQL = P.PHONE.replace(r"(?<![\w+])", "").replace(r"(?![\w])", r"\b")
+BEFORE_SQL = r"[^\p{L}\p{M}\p{Nd}\p{Pc}+]"
+LED_SQL = f"""CASE WHEN b = 0 AND regexp_matches(v, '^(?:{PHONE_SQL})$') THEN v ELSE substring(v, 2) END"""
+
+
+@query(SPANS_SQL.format(p=f"(?:^|{BEFORE_SQL})(?:{PHONE_SQL})") + f""", n AS (SELECT doc_id, b, v AS whole, {LED_SQL} AS v FROM s)
+SELECT doc_id, CAST(b + length(whole) - length(v) AS INTEGER) AS "start", CAST(b + length(whole) AS INTEGER) AS "end", 'PHONE' AS label, v AS "text" FROM n""")
 def phone_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_spans(spark, sf_dir, "PHONE")
 
