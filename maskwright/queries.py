@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .fixtures import EXACT, MASKED
 from .functions import extract as X
 from .operators import evaluation as E
 from .operators import usage as U
 from .operators.chunking import chunks
+from .operators.spans import find
 from .plans.masking import PipelineConfig, mapping_rows, mask_documents
 from .rules import BY_NAME
+from .sources.readers import FORM_FEATURES, form_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -290,3 +293,84 @@ def load_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = U.load_levels(rows)
     return out.select("level", "client_count", "ok", "error", F.round("wait_p50", 9).alias("wait_p50"), F.round("wait_p95", 9).alias("wait_p95"), "wait_max", "abort_reason")
+
+
+def literal(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# Each value that was written down for a text, at its first place after the value before.
+RULE_SQL = "WITH f(rule, body, vals) AS (VALUES " + ", ".join(f"({literal(r)}, {literal(t)}, [{', '.join(map(literal, v))}])" for r, t, v in EXACT) + """),
+v AS (SELECT rule, body, unnest(vals) AS value, generate_subscripts(vals, 1) AS k FROM f)
+SELECT rule, body, CAST(k AS INTEGER) AS k, value, CAST(strpos(body, value) - 1 + length(value) AS INTEGER) AS "end" FROM v
+"""
+
+
+@query(RULE_SQL)
+def rule_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule finds in the hand-written texts."""
+
+    @F.pandas_udf("array<struct<value:string,end:int>>")
+    def found(rules: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"value": s.text.lstrip("№ "), "end": s.end} for s in find(BY_NAME[r], t)] for r, t in zip(rules, texts, strict=True)])
+
+    rows = spark.createDataFrame([(r, t) for r, t, _ in EXACT], "rule string, body string")
+    return rows.select("rule", "body", F.posexplode(found("rule", "body")).alias("k", "x")).select("rule", "body", (F.col("k") + 1).alias("k"), "x.value", "x.end")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({literal(t)}, {literal(m)}, {literal(t)})" for t, m in MASKED) + ") AS f(body, masked, restored)")
+def mask_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan on the hand-written texts, and the texts restored from its mappings."""
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(MASKED)], "doc_id long, text string")
+    done = mask_documents(rows, PipelineConfig()).select("doc_id", "masked", X.restored(F.col("masked"), F.col("mapping")).alias("restored"))
+    return done.join(rows, "doc_id").select(F.col("text").alias("body"), "masked", "restored")
+
+
+FORM_SQL = "SELECT doc_id, length(t) AS chars, sha256(\"text\") AS sha256, " + ", ".join(f"len(regexp_extract_all(t, {literal(p)})) AS {k}" for k, p in FORM_FEATURES.items()) + """ FROM (SELECT *, coalesce("text", '') AS t FROM documents)"""
+FORM_SQL = f"""
+WITH n AS ({FORM_SQL})
+SELECT *, fio + dates + money + requisites AS pii, CASE WHEN chars < 120 THEN NULL WHEN fio + dates + money + requisites >= 4 THEN true
+  WHEN fio + dates + money + requisites >= 2 AND placeholders <= 3 AND markers = 0 THEN true WHEN placeholders + markers >= 6 OR fio + dates + money + requisites = 0 THEN false END AS filled FROM n
+"""
+
+
+@query(FORM_SQL)
+def form_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the signs of filled and blank forms, and what they say."""
+    found = form_features(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("chars").cast("long").alias("chars"), "sha256", *(F.col(k).cast("long").alias(k) for k in (*FORM_FEATURES, "pii")), "filled")
+
+
+SPANS_OF_LINES = """
+WITH g AS (SELECT row_number() OVER () AS id, l_orderkey AS row, l_linenumber * 10 AS s, l_linenumber * 10 + 5 AS e, CASE WHEN l_returnflag = 'N' THEN 'PERSON' ELSE 'LOCATION' END AS c FROM lineitem),
+p AS (SELECT row_number() OVER () AS id, l_orderkey AS row, l_linenumber * 10 + l_suppkey % 8 AS s, l_linenumber * 10 + l_suppkey % 8 + 3 AS e, CASE WHEN l_linestatus = 'O' THEN 'PERSON' ELSE 'LOCATION' END AS c FROM lineitem),
+a AS (SELECT g.id, g.row, g.s, g.e, g.c, coalesce(bool_or(p.c = g.c), false) AS hit, count(p.row) > 0 AS cov FROM g LEFT JOIN p ON g.row = p.row AND g.s < p.e AND p.s < g.e GROUP BY ALL),
+b AS (SELECT p.id, p.row, p.s, p.e, p.c, coalesce(bool_or(p.c = g.c), false) AS hit FROM p LEFT JOIN g ON g.row = p.row AND g.s < p.e AND p.s < g.e GROUP BY ALL)
+"""
+
+
+def spans_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of lineitem as a gold and as a predicted span, matched."""
+    rows = table(spark, sf_dir, "lineitem")
+    at = (F.col("l_linenumber") * 10).cast("long")
+    start = at + F.col("l_suppkey") % 8
+    gold = rows.select(F.col("l_orderkey").alias("row"), at.alias("start"), (at + 5).alias("end"), F.when(F.col("l_returnflag") == "N", "PERSON").otherwise("LOCATION").alias("category"))
+    pred = rows.select(F.col("l_orderkey").alias("row"), start.alias("start"), (start + 3).alias("end"), F.when(F.col("l_linestatus") == "O", "PERSON").otherwise("LOCATION").alias("category"))
+    return E.matches(gold, pred)
+
+
+@query(SPANS_OF_LINES + """, u AS (SELECT 'gold' AS side, c, hit FROM a UNION ALL SELECT 'pred', c, hit FROM b),
+n AS (SELECT unnest(['ALL', 'PERSON+LOCATION', c]) AS name, * FROM u),
+k AS (SELECT name, count(*) FILTER (side = 'gold') AS ng, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gold' AND hit) AS gh, count(*) FILTER (side = 'pred' AND hit) AS ph FROM n GROUP BY name),
+r AS (SELECT name, ph / np AS p, gh / ng AS r FROM k)
+SELECT name, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM r""")
+def eval_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.scores(spans_of_lines(spark, sf_dir))
+    return found.select("name", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(SPANS_OF_LINES + """, x AS (SELECT c AS category, CASE WHEN NOT cov THEN 'TRUEMISS' WHEN NOT hit THEN 'MISMATCH' END AS kind, row, s, e FROM a UNION ALL SELECT c, CASE WHEN NOT hit THEN 'FP' END, row, s, e FROM b)
+SELECT category, kind, CAST(row_number() OVER (PARTITION BY category, kind ORDER BY row, s, e) AS INTEGER) AS n, row, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM x WHERE kind IS NOT NULL QUALIFY n <= 20""")
+def error_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 errors of each category and kind: a report, so the limit is its feature."""
+    return E.errors(spans_of_lines(spark, sf_dir))
