@@ -43,6 +43,10 @@ EXACT = [
     ("PRICE_KW", "Цена: 1 200 000; сумму, указанную в п. 3.1", ["1 200 000"]),
     ("KPP", "КПП 771101001", ["771101001"]),
     ("OGRN", "ОГРНИП 304770000012345", ["304770000012345"]),
+    ("BIK", "БИК 044525225, БИК 12", ["044525225"]),
+    ("OKPO", "ОКПО: 12345678", ["12345678"]),
+    ("OKTMO", "код ОКТМО 45379000", ["45379000"]),
+    ("OKATO", "ОКАТО 45286560000", ["45286560000"]),
     ("OKVED", "ОКВЭД 62.01", ["62.01"]),
     ("BANK_ACCOUNT_KW", "р/с 4070 2810 9000 0001 2345", ["4070 2810 9000 0001 2345"]),
     ("BANK_ACCOUNT_FMT", "40702810900000012345", ["40702810900000012345"]),
@@ -53,6 +57,9 @@ EXACT = [
     ("CADASTRE", "77:01:0001001:1234", ["77:01:0001001:1234"]),
     ("ADMIN_CODE_STRUCT_KW", "код структуры 012-3", ["012-3"]),
     ("ADMIN_CODE_KOSGU", "КОСГУ 226", ["226"]),
+    ("ADMIN_CODE_SUBCONTO", "субконто 45-2", ["45-2"]),
+    ("ADMIN_CODE_SHIFR", "шифр 7-14", ["7-14"]),
+    ("ADMIN_CODE_REG_NUMBER", "рег. номер 0123-45", ["0123-45"]),
     ("ADMIN_CODE_STAMP", "Штамп отдела (И-118):", ["И-118"]),
     ("DATE", "«12» сентября 2025 года и 12.03.2015г.", ["«12» сентября 2025 года", "12.03.2015г."]),
     ("DATE_RANGE", "с 01.09 по 30.09", ["01.09", "30.09"]),
