@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,6 +436,24 @@ def test_neighbouring_passages():
                     assert any(x < e and s < y for x, y in got)
 
 
+@pytest.mark.parametrize("bits", [31, 10])
+def test_recurring_seeds(spark, bits, monkeypatch):
+    """All seeds that occur again are kept, those of one text too, and hardly another one is written; a full filter only lets more pass."""
+    monkeypatch.setattr(SD, "MOST_BITS", bits)
+    passage = prose(60, 900)
+    rows = corpus()[:40] + [(500 + k, f"{prose(70, 910 + k)} {passage} {prose(70, 920 + k)}") for k in range(4)] + [(600, f"{prose(45, 930)} " * 2), (601, "a " * 300), (602, "one two three four five")]
+    every = collections.defaultdict(list)
+    for ids, h, lengths in SD._some([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows if i is not None and t is not None])]):
+        at, g, _ = SD.minimizers(h, lengths)
+        text = np.searchsorted(np.cumsum(lengths), at, "right")
+        for place, seed, k in zip(at.tolist(), g.view(np.int64).tolist(), text.tolist(), strict=True):
+            every[seed].append((ids[k], place - int(lengths[:k].sum())))
+    wanted = {(seed, *place) for seed, places in every.items() if len(places) > 1 for place in places}
+    got = {(x.seed, x.doc_id, x.at) for x in SD.recurring_seeds(frame(spark, rows).where("doc_id IS NOT NULL AND text IS NOT NULL")).select("seed", "doc_id", "at").collect()}
+    total = sum(map(len, every.values()))
+    assert wanted and wanted <= got and (bits == 10 or len(got) < len(wanted) + 0.2 * total)
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------
 
 
