@@ -379,6 +379,50 @@ def test_passages_whose_pieces_occur_earlier(spark):
         assert any(x.start <= 40 and x.end >= 100 for x in found), k
 
 
+@pytest.mark.parametrize("decoys", [1, 12])
+def test_edited_passages_whose_seeds_occur_elsewhere(spark, decoys):
+    """Two documents alone share an edited passage; pieces of it, too short to be passages, stand before the first and between the two."""
+    own, words, rows = random.Random(21), [f"w{k}" for k in range(4000)], []
+    for k in range(12):
+        first = own.choices(words, k=60)
+        second = [f"x{own.random()}" if j % 14 == 13 else w for j, w in enumerate(first)]
+        pieces = [first[lo : lo + 14] for lo in (0, 12, 24, 36, 46)]
+        rows += [(10_000 + len(rows) + j, " ".join(own.choices(words, k=40) + part + own.choices(words, k=40))) for j, part in enumerate([*pieces * decoys, first, *pieces * decoys, second])]
+    last = len(rows) // 12
+    got = SD.repeated_passages(frame(spark, rows)).collect()
+    for k in range(12):
+        source, doc_id = 10_000 + k * last + 5 * decoys, 10_000 + k * last + last - 1
+        assert any(x.doc_id == doc_id and x.source_doc_id == source and x.start <= 45 and x.end >= 95 for x in got), k
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_ties_cover_what_any_earlier_one_covers(hot, monkeypatch):
+    """Of each occurrence, the words that are covered together with any earlier one; against all pairs."""
+    monkeypatch.setattr(SD, "HOT", hot)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        models = rng.integers(1, 256, (4, 2 * SD.CONTEXT))
+        context = models[rng.integers(0, 4, 60)]
+        context = np.where(rng.random(context.shape) < rng.choice([0.0, 0.05, 0.2, 0.4], (60, 1)), rng.integers(1, 256, context.shape), context).astype(np.uint8)
+        context[::7, :10] = 0
+        i, j = SD.tied(np.repeat(np.array([5, 9], np.uint64), 30), context)
+        assert (j < i).all() and (i // 30 == j // 30).all()
+
+        def covered(row, others):
+            out = np.zeros(2 * SD.CONTEXT, bool)
+            for other in others:
+                same = (context[row] == context[other]) & (context[row] > 0)
+                for lo in range(SD.CONTEXT + 1):
+                    if same[lo : lo + SD.CONTEXT].sum() >= 19:
+                        out[lo : lo + SD.CONTEXT] = True
+            return out & (context[row] > 0)
+
+        for row in range(60):
+            every, own = covered(row, range(row // 30 * 30, row)), covered(row, j[i == row])
+            exact = any((context[row, lo : lo + SD.CONTEXT] == context[x, lo : lo + SD.CONTEXT]).all() and context[row, lo : lo + SD.CONTEXT].all() for x in range(row // 30 * 30, row) for lo in range(0, SD.CONTEXT + 1, 5))
+            assert own.any() if exact else (own == every).all()
+
+
 def test_chain_after_long_stretch():
     """A long stretch far back doesn't hide the true neighbours of later matches; against all predecessors."""
     long = [(x, x) for x in range(0, 500, SD.K)]
@@ -444,12 +488,13 @@ def test_recurring_seeds(spark, bits, monkeypatch):
     rows = corpus()[:40] + [(500 + k, f"{prose(70, 910 + k)} {passage} {prose(70, 920 + k)}") for k in range(4)] + [(600, f"{prose(45, 930)} " * 2), (601, "a " * 300), (602, "one two three four five")]
     every = collections.defaultdict(list)
     for ids, h, lengths in SD._some([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows if i is not None and t is not None])]):
-        at, g, _ = SD.minimizers(h, lengths)
+        at, g = SD.minimizers(h, lengths)
         text = np.searchsorted(np.cumsum(lengths), at, "right")
         for place, seed, k in zip(at.tolist(), g.view(np.int64).tolist(), text.tolist(), strict=True):
             every[seed].append((ids[k], place - int(lengths[:k].sum())))
     wanted = {(seed, *place) for seed, places in every.items() if len(places) > 1 for place in places}
-    got = {(x.seed, x.doc_id, x.at) for x in SD.recurring_seeds(frame(spark, rows).where("doc_id IS NOT NULL AND text IS NOT NULL")).select("seed", "doc_id", "at").collect()}
+    seeds = np.concatenate([np.frombuffer(x.seeds, SD.SEED) for x in SD.recurring_seeds(frame(spark, rows).where("doc_id IS NOT NULL AND text IS NOT NULL"))[0].collect()])
+    got = set(zip(seeds["seed"].astype(np.int64).tolist(), seeds["doc_id"].tolist(), seeds["at"].tolist(), strict=True))
     total = sum(map(len, every.values()))
     assert wanted and wanted <= got and (bits == 10 or len(got) < len(wanted) + 0.2 * total)
 
